@@ -28,6 +28,7 @@ from . import common
 
 #: Texts of these characters only are their own NFC form and get their lower case letter by letter; white space is space, tab and line ends.
 PLAIN = re.compile("[\t\n\r -~¡-¬®-įı-ňŊ-ž]*\\Z")
+#: Words and prefixes that a task keeps in each of two generations: a full one becomes the old one, from which those that recur come back.
 KEPT = 400_000
 
 
@@ -38,6 +39,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def plain_pieces(pattern: str, spaces: bool = True) -> re.Pattern:
+    """The word pattern for plain texts, with its letter and number classes written out so that ``re`` can run it; with the white space before each word."""
+    chars = [chr(c) for c in range(0x180) if PLAIN.match(chr(c))]
+    for name in (r"\p{L}", r"\p{N}"):
+        pattern = pattern.replace(name, "".join(re.escape(c) for c in chars if regex.match(name, c)))
+    pattern = pattern.replace("[[", "[").replace("]]", "]")
+    return re.compile(rf"[ \t\n\r]*(?:{pattern})|[ \t\n\r]+" if spaces else pattern)
+
+
 class PrefixCounter:
     """Counts for one word-end BPE file of the tokenizers library. ``path`` is the file's place."""
 
@@ -49,17 +59,20 @@ class PrefixCounter:
         self.lib = Tokenizer.from_file(path)
         self.end = spec["model"]["end_of_word_suffix"] or ""
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.pieces = regex.compile(self.pattern.pattern + r"|\s+")
+        self.pieces = plain_pieces(self.pattern.pattern)
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.ranks = {(a, b): i for i, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])}
         vocab = spec["model"]["vocab"]
         self.inner = {v for v in vocab if not v.endswith(self.end)}
         self.final = {v[: -len(self.end)] for v in vocab if v.endswith(self.end)}
+        self.kinds = {v: (v in self.inner) + 2 * (v in self.final) for v in self.inner | self.final}
         self.longest = max(map(len, self.inner | self.final))
         self.letters = byte_letters()
         self.state: dict[str, tuple[str, int, int]] = {"": ("", 0, 0)}
         self.beside: dict[tuple[str, str, bool], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.old_state: dict[str, tuple[str, int, int]] = {}
+        self.old_words: dict[str, bytes] = {}
         self.prefixes = lru_cache(100_000)(self.library_prefixes)
 
     # -- the dynamic programme, over words in byte letters
@@ -93,20 +106,25 @@ class PrefixCounter:
 
     def reach(self, prefix: str) -> tuple[str, int, int]:
         """Of ``prefix``, whose shorter prefixes are in ``state``: the last token and the count inside a word, the count as a whole word."""
-        inner, final, state, beside = self.inner, self.final, self.state, self.beside
+        kinds, state, beside = self.kinds, self.state, self.beside
         n, last, count, whole = len(prefix), "", 0, 0
-        for k in range(n if n < self.longest else self.longest, 0, -1):
-            token = prefix[n - k :]
-            a, b = not count and token in inner, not whole and token in final
-            if a or b:
-                before, c, _ = state[prefix[: n - k]]
-                if a and (not before or (beside[x] if (x := (before, token, False)) in beside else self.unmerged(*x))):
-                    last, count = token, c + 1
-                if b and (not before or (beside[x] if (x := (before, token, True)) in beside else self.unmerged(*x))):
-                    whole = c + 1
-                if count and whole:
-                    return last, count, whole
-        raise ValueError(f"no token ends {prefix!r}")
+        for at in range(n - self.longest if n > self.longest else 0, n):
+            token = prefix[at:]
+            kind = kinds.get(token)
+            if kind is None:
+                continue
+            before, c, _ = state[prefix[:at]]
+            if not count and kind & 1 and (not at or (beside[x] if (x := (before, token, False)) in beside else self.unmerged(*x))):
+                last, count = token, c + 1
+                if whole:
+                    break
+            if not whole and kind & 2 and (not at or (beside[x] if (x := (before, token, True)) in beside else self.unmerged(*x))):
+                whole = c + 1
+                if count:
+                    break
+        else:
+            raise ValueError(f"no token ends {prefix!r}")
+        return last, count, whole
 
     def word_steps(self, letters: str, ends: list[int]) -> list[int]:
         """The counts of the prefixes of ``letters`` that end at ``ends``, each encoded as a whole word."""
@@ -114,15 +132,16 @@ class PrefixCounter:
         if len(letters) > 400:
             return self.long_word_steps(letters, ends)
         if len(state) > KEPT:
-            state.clear()
-            state[""] = ("", 0, 0)
+            self.old_state, self.state = state, {"": ("", 0, 0)}
+            state = self.state
+        old = self.old_state
         out, i = [], 1
         for e in ends:
             while i <= e:
                 p = letters[:i]
                 s = state.get(p)
                 if s is None:
-                    s = state[p] = self.reach(p)
+                    s = state[p] = old.get(p) or self.reach(p)
                 i += 1
             out.append(s[2])
         return out
@@ -166,12 +185,17 @@ class PrefixCounter:
     def steps(self, text: str) -> np.ndarray:
         """The step of the count at every code point; its running sum is the count of every prefix."""
         if PLAIN.match(text) and not any(s in text for s in self.specials):
-            words = self.words
-            if len(words) > KEPT:
-                words.clear()
+            if len(self.words) > KEPT:
+                self.old_words, self.words = self.words, {}
+            words, old = self.words, self.old_words
             ws = self.pieces.findall(text.lower())
             for w in set(ws).difference(words):
-                words[w] = bytes(len(w)) if w.isspace() else self.steps_of(w)
+                if w in old:
+                    words[w] = old[w]
+                    continue
+                bare = w.lstrip(" \t\n\r")
+                known = self.steps_of(bare) if bare else b""
+                words[w] = bytes(len(w) - len(bare)) + known if known or not bare else b""
             out = b"".join([words[w] for w in ws])
             if len(out) == len(text):
                 return np.frombuffer(out, np.int8)
