@@ -16,15 +16,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
+from .token_counts import PLAIN, plain_pieces
 
-#: Words whose tokens a task keeps; beyond it forgets them all.
-KEPT = 500_000
+#: Words whose tokens a task keeps in each of two generations.
+KEPT = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,9 +38,12 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
+        self.decimal = {r: str(r) for r in self.bytes_of}
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.pattern = regex.compile(pattern)
+        self.plain = plain_pieces(pattern, spaces=False)
         self.words: dict[str, tuple[int, ...]] = {}
+        self.old_words: dict[str, tuple[int, ...]] = {}
         self.pair_rank: dict[tuple[int, int], int] = {}
 
     def rank(self, a: int, b: int) -> int:
@@ -121,12 +126,16 @@ class MergeReplay:
 
     def encode_batch(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
         """For every text, its words' tokens."""
-        found = [self.pattern.findall(t) for t in texts]
+        found = [(self.plain if PLAIN.match(t) else self.pattern).findall(t) for t in texts]
         if len(self.words) > KEPT:
-            self.words.clear()
-        new = list(set().union(*found).difference(self.words)) if found else []
-        self.words.update(zip(new, self.encode_words(new), strict=True))
-        words = self.words
+            self.old_words, self.words = self.words, {}
+        words, old, new = self.words, self.old_words, []
+        for w in set().union(*found).difference(words):
+            if w in old:
+                words[w] = old[w]
+            else:
+                new.append(w)
+        words.update(zip(new, self.encode_words(new), strict=True))
         return [[words[w] for w in ws] for ws in found]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -140,7 +149,7 @@ def replay_batches(docs: DataFrame, ranks_path: str, pattern: str, columns: str,
         replay = MergeReplay(load_ranks(ranks_path), pattern)
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [[i for w in ws for i in w] for ws in replay.encode_batch(common.texts(b.column(1)))]
+            ids = [list(chain.from_iterable(ws)) for ws in replay.encode_batch(common.texts(b.column(1)))]
             return out(replay, b, ids)
 
         return f
@@ -174,7 +183,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     h = lambda x: hashlib.sha256(x).hexdigest()
 
     def out(r: MergeReplay, b: pa.RecordBatch, ids: list[list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([h(" ".join(map(str, x)).encode()) for x in ids], pa.string()), pa.array([h(r.decode(x)) for x in ids], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        decimal = r.decimal.__getitem__
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([h(" ".join(map(decimal, x)).encode()) for x in ids], pa.string()), pa.array([h(r.decode(x)) for x in ids], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return replay_batches(docs.selectExpr("cast(doc_id AS long) doc_id", "text"), ranks_path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", out)
 

@@ -42,9 +42,14 @@ def byte_letters() -> list[str]:
 def plain_pieces(pattern: str, spaces: bool = True) -> re.Pattern:
     """The word pattern for plain texts, with its letter and number classes written out so that ``re`` can run it; with the white space before each word."""
     chars = [chr(c) for c in range(0x180) if PLAIN.match(chr(c))]
-    for name in (r"\p{L}", r"\p{N}"):
-        pattern = pattern.replace(name, "".join(re.escape(c) for c in chars if regex.match(name, c)))
-    pattern = pattern.replace("[[", "[").replace("]]", "]")
+    out, inside = "", False
+    for part in re.findall(r"\\p\{.\}|\\.|.", pattern):
+        if part.startswith(r"\p"):
+            letters = "".join(re.escape(c) for c in chars if regex.match(part, c))
+            part = letters if inside else f"[{letters}]"
+        inside = part == "[" or inside and part != "]"
+        out += part
+    pattern = out
     return re.compile(rf"[ \t\n\r]*(?:{pattern})|[ \t\n\r]+" if spaces else pattern)
 
 
