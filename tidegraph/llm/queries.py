@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, secret_scan, token_counts
+from . import byte_bpe, exact_dedup, secret_scan, token_counts, token_files, toxicity
 
 QUERIES = {
+    "op2_token_files": token_files.op2_token_files,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }

@@ -29,13 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .token_counts import PLAIN
+from .token_counts import PLAIN, plain_pieces
 
 MAGIC = b"TGPFOR1\0"
 BLOCK = 128
@@ -52,17 +51,16 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.lib = Tokenizer.from_file(path)
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pattern = plain_pieces(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], spaces=False)
         self.specials = [t["content"] for t in spec["added_tokens"]]
         end = spec["model"]["end_of_word_suffix"]
         self.final = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self.final[[i for v, i in spec["model"]["vocab"].items() if v.endswith(end)]] = True
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def learn(self, new: list[str]) -> None:
         """The library encodes the new words in a row; each ends with its one word-end token."""
-        if len(self.words) > KEPT:
-            self.words.clear()
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             ids = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -77,9 +75,14 @@ class WordEncoder:
         found = [self.pattern.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
         new = set().union(*found)
         if len(self.words) > KEPT:
-            self.words.clear()
-        self.learn(list(new.difference(self.words)))
-        words = self.words
+            self.old_words, self.words = self.words, {}
+        words, old, unknown = self.words, self.old_words, []
+        for w in new.difference(words):
+            if w in old:
+                words[w] = old[w]
+            else:
+                unknown.append(w)
+        self.learn(unknown)
         other = iter(self.lib.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
         return [np.frombuffer(b"".join([words[w] for w in ws]), "<u4") if p else np.array(next(other).ids, "<u4") for ws, p in zip(found, plain, strict=True)]
 
