@@ -67,20 +67,21 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def hash_words(ws: list[str], seen: dict[str, int]) -> np.ndarray:
-    """A 64-bit hash of every word; ``seen`` keeps those of earlier words and is emptied when it is large."""
-    import xxhash
+class Hashes(dict):
+    """64-bit hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
+
+def hash_words(ws: list[str], seen: Hashes) -> np.ndarray:
+    """A 64-bit hash of every word; ``seen`` keeps those of earlier words and is emptied when it is large."""
     if len(seen) > 300_000:
         seen.clear()
-    get, h = seen.get, xxhash.xxh64_intdigest
-    out = np.empty(len(ws), np.uint64)
-    for i, w in enumerate(ws):
-        v = get(w)
-        if v is None:
-            v = seen[w] = h(w)
-        out[i] = v
-    return out
+    return np.fromiter(map(seen.__getitem__, ws), np.uint64, len(ws))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,12 +91,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(ws: list[str], seen: dict[str, int], n: int = SHINGLE_WORDS) -> np.ndarray:
+def shingle_hashes(ws: list[str], seen: Hashes, n: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``n`` words. A text of fewer words is one shingle; none without words."""
     return np.unique(shingle_sequence(ws, seen, n))
 
 
-def shingle_sequence(ws: list[str], seen: dict[str, int], n: int = SHINGLE_WORDS) -> np.ndarray:
+def shingle_sequence(ws: list[str], seen: Hashes, n: int = SHINGLE_WORDS) -> np.ndarray:
     """The shingles' hashes in the order of the text."""
     if not ws:
         return np.empty(0, np.uint64)

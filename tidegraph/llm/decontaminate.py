@@ -41,7 +41,7 @@ class Sketches:
 
     def __init__(self, items: list[tuple], threshold: float = common.THRESHOLD, n: int = common.SHINGLE_WORDS) -> None:
         self.threshold, self.n = threshold, n
-        seen: dict[str, int] = {}
+        seen = common.Hashes()
         self.items = []  # id, words a shingle, shingles, hashes
         for item, text in items:
             ws = common.words(text or "")
@@ -62,7 +62,7 @@ class Sketches:
         """The shingles that a document must share with item ``i``."""
         return math.ceil(self.threshold * len(self.items[i][3]) - 1e-9)
 
-    def candidates(self, ws: list[str], seen: dict[str, int]) -> dict[int, np.ndarray]:
+    def candidates(self, ws: list[str], seen: common.Hashes) -> dict[int, np.ndarray]:
         """Items with a sketch hash in the document, and the document's hashes for their shingle length."""
         found: dict[int, np.ndarray] = {}
         for k, (hashes, owners) in self.sketch.items():
@@ -79,7 +79,7 @@ class Sketches:
                             found[i] = h
         return found
 
-    def search(self, text: str, seen: dict[str, int]) -> list[tuple]:
+    def search(self, text: str, seen: common.Hashes) -> list[tuple]:
         """(item, shared shingles, shingles of the item) for the items that ``text`` contains."""
         ws = common.words(text)
         out, exact = [], {}
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, sketches: Sketches) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketches)
 
     def make():
-        s, seen = shared.value, {}
+        s, seen = shared.value, common.Hashes()
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             return found_batch([(doc, item, n, q, n / q) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for item, n, q in s.search(text, seen)])
@@ -133,7 +133,7 @@ def joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
 
     def hashes(column: str, sketch: bool):
         def make():
-            seen: dict[str, int] = {}
+            seen = common.Hashes()
 
             def f(b: pa.RecordBatch) -> pa.RecordBatch:
                 rows = []
@@ -159,7 +159,7 @@ def joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     both = pairs.join(d.select(F.col("row").alias("d_row"), "doc_id", F.col("text").alias("d_text")), "d_row").join(i.select(F.col("row").alias("i_row"), "item_id", F.col("text").alias("i_text")), "i_row")
 
     def make():
-        seen: dict[str, int] = {}
+        seen = common.Hashes()
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = []

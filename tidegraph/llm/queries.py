@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, exact_dedup, secret_scan, token_counts, token_files, toxicity
+from . import byte_bpe, chat_format, decontaminate, exact_dedup, ngram_join, secret_scan, token_counts, token_files, toxicity
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_token_files": token_files.op2_token_files,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
-SQL = {"op3_chat_format": chat_format.SQL, "op9_decontaminate": decontaminate.SQL, "op4_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_ngram_join": ngram_join.SQL, "op3_chat_format": chat_format.SQL, "op9_decontaminate": decontaminate.SQL, "op4_exact_dedup": exact_dedup.SQL}
