@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import cache
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -50,7 +51,7 @@ class MergeReplay:
         """The rank of the merge of two tokens, -1 if there is none."""
         r = self.pair_rank.get((a, b))
         if r is None:
-            if len(self.pair_rank) > 1_000_000:
+            if len(self.pair_rank) > 400_000:
                 self.pair_rank.clear()
             r = self.pair_rank[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
         return r
@@ -142,11 +143,17 @@ class MergeReplay:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@cache
+def kept_replay(ranks_path: str, pattern: str) -> MergeReplay:
+    """One a worker process: its words serve the tasks that follow."""
+    return MergeReplay(load_ranks(ranks_path), pattern)
+
+
 def replay_batches(docs: DataFrame, ranks_path: str, pattern: str, columns: str, out) -> DataFrame:
     """Map ``docs`` (doc_id and text first) in batches; ``out(replay, batch, ids of each text)`` makes the columns."""
 
     def make():
-        replay = MergeReplay(load_ranks(ranks_path), pattern)
+        replay = kept_replay(ranks_path, pattern)
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             ids = [list(chain.from_iterable(ws)) for ws in replay.encode_batch(common.texts(b.column(1)))]

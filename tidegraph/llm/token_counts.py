@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cache, lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -29,7 +29,7 @@ from . import common
 #: Texts of these characters only are their own NFC form and get their lower case letter by letter; white space is space, tab and line ends.
 PLAIN = re.compile("[\t\n\r -~¡-¬®-įı-ňŊ-ž]*\\Z")
 #: Words and prefixes that a task keeps in each of two generations: a full one becomes the old one, from which those that recur come back.
-KEPT = 400_000
+KEPT = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -87,7 +87,7 @@ class PrefixCounter:
         key = (left, right, final)
         known = self.beside.get(key)
         if known is None:
-            if len(self.beside) > 4 * KEPT:
+            if len(self.beside) > 2 * KEPT:
                 self.beside.clear()
             known = self.beside[key] = self.merged(left + right, final) == [left, right + self.end * final]
         return known
@@ -258,6 +258,12 @@ class PrefixCounter:
         return steps.astype(np.int8) if not len(steps) or abs(steps).max() < 128 else steps.astype("<i4")
 
 
+@cache
+def kept_counter(path: str) -> PrefixCounter:
+    """One counter a worker process: its words and prefixes serve the tasks that follow."""
+    return PrefixCounter(path)
+
+
 def counts(steps: np.ndarray) -> np.ndarray:
     """The counts of the prefixes of 0, 1, ... code points."""
     return np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
@@ -275,7 +281,7 @@ def prefix_counts(docs: DataFrame, path: str, limit: int = 2048, stored: bool =
     """
 
     def make():
-        counter = PrefixCounter(path)
+        counter = kept_counter(path)
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             ts = common.texts(b.column(1))

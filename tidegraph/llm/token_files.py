@@ -25,6 +25,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,12 @@ class WordEncoder:
         return [np.frombuffer(b"".join([words[w] for w in ws]), "<u4") if p else np.array(next(other).ids, "<u4") for ws, p in zip(found, plain, strict=True)]
 
 
+@cache
+def kept_encoder(path: str) -> WordEncoder:
+    """One encoder a worker process: its words serve the tasks that follow."""
+    return WordEncoder(path)
+
+
 # -- blocks
 
 
@@ -229,7 +236,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        encoder = WordEncoder(tokenizer)
+        encoder = kept_encoder(tokenizer)
         fs, root = pafs.FileSystem.from_uri(folder)
         doc_ids, arrays, have, seq = [], [], 0, 0
 
