@@ -40,7 +40,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, rows: int = 1000) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema, rows: int = 1000) -> DataFrame:
     """``mapInArrow`` in slices of at most ``rows`` rows. ``make`` runs once a task and returns the function of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +54,23 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return df.mapInArrow(run, schema)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own below the shared one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def small(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` to be broadcast if it is counted to have at most ``limit`` rows, else as it is. Give it what a checkpoint holds."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def without(docs: DataFrame, doc_ids: DataFrame, limit: int = 500_000) -> DataFrame:
+    """``docs`` without the rows whose doc_id is among ``doc_ids``; up to ``limit`` of them (8 bytes each) are broadcast, more are joined by a shuffle."""
+    ids = checkpoint(doc_ids.select("doc_id").where("doc_id IS NOT NULL").distinct())
+    return docs.join(small(ids, limit), "doc_id", "left_anti").select(*docs.columns)
+
+
 def texts(column: pa.Array) -> list[str]:
     """A text column as strings, null as the empty string."""
     return [x or "" for x in column.to_pylist()]

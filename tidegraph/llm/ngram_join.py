@@ -34,6 +34,8 @@ from . import common
 BANDS, ROWS = 64, 7
 STEP = 32
 TOLERANCE = 1e-9
+#: Members of clusters (about 60 bytes each) that are sent to the tasks that read texts; more are joined by a shuffle.
+MEMBERS = 200_000
 BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1_000_000
 
 
@@ -230,6 +232,7 @@ def ngram_join(docs: DataFrame, threshold: float = common.THRESHOLD, tolerance:
     sized = clusters.withColumnRenamed("node", "rep").join(nodes.select("rep", "set_hash", "n_shingles", "mult"), "rep")
     blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = sized.join(blocks, "root").select("rep", F.col("root").alias("cluster"), "mult", "blocks", "set_hash")
+    members = common.small(common.checkpoint(members), MEMBERS)
     found = common.checkpoint(linked_blocks(members, docs, threshold, tolerance))
     roots = common.components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -171,6 +171,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return common.map_rows(d.select("doc_id", held_out(F.col("doc_id")), "text"), make, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not call toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def make():
+        f = shared.value.scorer()
+        return lambda b: b.filter(pa.array([f(t) < 0.5 for t in common.texts(b.column(at))], pa.bool_()))
+
+    return common.map_rows(docs, make, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     return score(docs, fit(docs, common.read(spark, sf_dir, "labels")))
