@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,18 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Within it, jobs send Python at most ``rows`` rows at once (for rows of many kilobytes)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def small(df: DataFrame, limit: int) -> DataFrame:
     """``df`` to be broadcast if it is counted to have at most ``limit`` rows, else as it is. Give it what a checkpoint holds."""
     return F.broadcast(df) if df.count() <= limit else df

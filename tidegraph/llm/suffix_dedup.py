@@ -42,7 +42,9 @@ LENGTH, GRAM = 50, 20
 CHUNK_ROWS = 8192
 PART = 1 << 20
 #: Phrases that a task gathers before it sends them on.
-FLUSH = 1_000_000
+FLUSH = 600_000
+#: Buckets of the dictionary for each shuffle partition: many, so that they spread evenly and one is small.
+BUCKETS = 8
 LAST = (1 << 63) - 1
 U = np.uint64
 
@@ -474,10 +476,12 @@ def suffix_dedup(docs: DataFrame, columns=span_columns, schema: str = "n_bytes l
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = placed(docs)
-    to_owner = rows.mapInArrow(to_dictionary(n), "bucket int, chunk long, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    answers = write_by_chunk(to_owner.mapInArrow(own_dictionary, "chunk long, blob binary"), common.work_path(spark, "repeats"), n)
-    to_sort = rows.mapInArrow(open_phrases(n, answers), "bucket int, chunk long, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    spans = write_by_chunk(to_sort.mapInArrow(own_suffixes, "chunk long, blob binary"), common.work_path(spark, "spans"), n)
+    blobs = "bucket int, chunk long, blob binary"
+    with common.batch_rows(spark, 256):
+        to_owner = rows.mapInArrow(to_dictionary(n * BUCKETS), blobs).repartition(n, "bucket").sortWithinPartitions("bucket")
+        answers = write_by_chunk(to_owner.mapInArrow(own_dictionary, "chunk long, blob binary"), common.work_path(spark, "repeats"), n)
+        to_sort = rows.mapInArrow(open_phrases(n * BUCKETS, answers), blobs).repartition(n, "bucket").sortWithinPartitions("bucket")
+        spans = write_by_chunk(to_sort.mapInArrow(own_suffixes, "chunk long, blob binary"), common.work_path(spark, "spans"), n)
     return rows.mapInArrow(removed_spans(answers, spans, columns), f"doc_id long, {schema}")
 
 
