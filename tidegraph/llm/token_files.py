@@ -22,6 +22,7 @@ doc_id follow one another, by text; null doc_ids come first; an empty table writ
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,11 +42,12 @@ from .token_counts import PLAIN, plain_pieces
 MAGIC = b"TGPFOR1\0"
 BLOCK = 128
 PERCENTILE = 0.98
-KEPT = 400_000
+#: Words whose ids a task keeps in each of two generations.
+KEPT = 250_000
 
 
 class WordEncoder:
-    """Ids of a word-end BPE file as the tokenizers library gives them; ids of words it has met are kept."""
+    """Ids of a word-end BPE file as the tokenizers library gives them; those of words it has met are kept."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -57,35 +60,57 @@ class WordEncoder:
         end = spec["model"]["end_of_word_suffix"]
         self.final = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self.final[[i for v, i in spec["model"]["vocab"].items() if v.endswith(end)]] = True
-        self.words: dict[str, bytes] = {}
+        apart = [chr(c) for c in range(33, 0x180) if PLAIN.match(chr(c)) and not chr(c).isalpha()]
+        self.marks = [c for c in apart if self.pattern.fullmatch(c)]
+        self.side_by_side = re.compile("[" + "".join(re.escape(c) for c in apart if not c.isnumeric()) + "]{2}")
+        self.words: dict[str, bytes] = {"": b""}
         self.old_words: dict[str, bytes] = {}
 
+    def spaced(self, text: str) -> str:
+        """A plain text in lower case with white space between all its words. Marks that stand alone need no pattern to be set apart."""
+        text = text.lower()
+        if "'" in text or self.side_by_side.search(text):
+            return " ".join(self.pattern.findall(text))
+        for mark in self.marks:
+            if mark in text:
+                text = text.replace(mark, f" {mark} ")
+        return text
+
     def learn(self, new: list[str]) -> None:
         """The library encodes the new words in a row; each ends with its one word-end token."""
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             ids = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.final[ids]) + 1
-            if len(ends) != len(part):
+            cuts = [0, *(4 * np.flatnonzero(self.final[ids]) + 4).tolist()]
+            if len(cuts) != len(part) + 1:
                 raise ValueError("words and word-end tokens differ in number")
-            for w, x in zip(part, np.split(ids, ends[:-1]), strict=True):
-                self.words[w] = x.tobytes()
+            raw = ids.tobytes()
+            for w, a, b in zip(part, cuts, cuts[1:], strict=False):
+                self.words[w] = raw[a:b]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [bool(PLAIN.match(t)) and not any(s in t for s in self.specials) for t in texts]
-        found = [self.pattern.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = set().union(*found)
+        """Plain texts by their words, each distinct one of the batch looked up once; other texts whole by the library."""
         if len(self.words) > KEPT:
-            self.old_words, self.words = self.words, {}
-        words, old, unknown = self.words, self.old_words, []
-        for w in new.difference(words):
-            if w in old:
-                words[w] = old[w]
-            else:
-                unknown.append(w)
-        self.learn(unknown)
+            self.old_words, self.words = self.words, {"": b""}
+        words, old = self.words, self.old_words
+        plain = [bool(PLAIN.match(t)) and not any(s in t for s in self.specials) for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([self.spaced(t) for t, p in zip(texts, plain, strict=True) if p], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ids = list(map(words.get, distinct))
+        unknown = [w for w, x in zip(distinct, ids, strict=True) if x is None]
+        words.update({w: old[w] for w in unknown if w in old})
+        self.learn([w for w in unknown if w not in words])
+        ids = [words[w] if x is None else x for w, x in zip(distinct, ids, strict=True)]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, size = (np.cumsum(size) - size)[codes], size[codes]
+        before = np.concatenate([[0], np.cumsum(size)])
+        flat = flat[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
+        cuts = before[split.offsets.to_numpy()]
         other = iter(self.lib.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [np.frombuffer(b"".join([words[w] for w in ws]), "<u4") if p else np.array(next(other).ids, "<u4") for ws, p in zip(found, plain, strict=True)]
+        own = iter(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return [flat[slice(*next(own))] if p else np.array(next(other).ids, "<u4") for p in plain]
 
 
 @cache
@@ -255,8 +280,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
             return row
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part_b = b.slice(at, 500)
+            for at in range(0, b.num_rows, 2000):
+                part_b = b.slice(at, 2000)
                 for doc, ids in zip(part_b.column(0).to_pylist(), encoder.encode_batch(part_b.column(1).to_pylist()), strict=True):
                     ids = ids if end_id is None else np.append(ids, np.uint32(end_id))
                     if doc_ids and have + len(ids) > shard_ids:
