@@ -92,7 +92,7 @@ def scan(src: bytes) -> Scan:
 
 
 #: Static imports and re-exports. Those of types only are left out, as they vanish when compiled.
-QUOTED_IMPORT = re.compile(rb"(?:^|[;\s{}])(?:import|export)\s*(?!type[\s{])(?:[\w$\s{},*]*?from)?\s*(['\"])([^'\"\n]+)\1")
+QUOTED_IMPORT = re.compile(rb"(?:^|[;\s{}])(?:import|export)(?!\s*type\s*(?!from\b)[\w{*])\s*(?:[\w$\s{},*]*?from)?\s*(['\"])([^'\"\n]+)\1")
 
 
 def code_only(src: bytes) -> bytes:

@@ -29,7 +29,7 @@ def ancestors(p: Column) -> Column:
     """All folders above a path, the nearest first: /a/b/c gives [/a/b, /a, /], a/b/c gives [a/b, a, .]."""
     parts = F.split(p, "/")
     n = F.size(parts)
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, n - i), "/"))
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n - F.startswith(p, F.lit("/")).cast("int"), F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, n - i), "/"))
     return F.transform(cut, lambda d: F.when(d == "", F.when(F.startswith(p, F.lit("/")), F.lit("/")).otherwise(F.lit("."))).otherwise(d))
 
 

@@ -86,6 +86,8 @@ def ignorable(analyzer: str, path: Column) -> Column:
 
 
 def test_file(analyzer: str, path: Column) -> Column:
+    if analyzer not in TEST_FILE:  # crates are judged by their contents
+        return F.lit(False)
     by_name = F.rlike(paths.base(path), F.lit(TEST_FILE[analyzer]))
     return by_name | F.array_contains(F.split(path, "/"), TEST_DIR[analyzer]) if analyzer in TEST_DIR else by_name
 

@@ -27,7 +27,8 @@ def key(kind: str, c: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
 
 
-PROJECT = F.lit("p").alias("project")
+def project() -> Column:
+    return F.lit("p").alias("project")
 
 
 def fk_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +44,7 @@ def fk_edges(spark: SparkSession, sf: str) -> DataFrame:
     out = e[0].toDF("src", "dst")
     for x in e[1:]:
         out = out.unionByName(x.toDF("src", "dst"))
-    return out.select(PROJECT, "src", "dst")
+    return out.select(project(), "src", "dst")
 
 
 def fk_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +60,7 @@ def fk_nodes(spark: SparkSession, sf: str) -> DataFrame:
     out = n[0].toDF("node_id", "has_tests", "has_dynamic")
     for x in n[1:]:
         out = out.unionByName(x.toDF("node_id", "has_tests", "has_dynamic"))
-    return out.select(PROJECT, "node_id", "has_tests", "has_dynamic")
+    return out.select(project(), "node_id", "has_tests", "has_dynamic")
 
 
 def fk_graph(spark: SparkSession, sf: str) -> Graph:
@@ -73,7 +74,7 @@ def fk_graph(spark: SparkSession, sf: str) -> Graph:
 def adj_edges(spark: SparkSession, sf: str, least: int) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     li = read(spark, sf, "lineitem").where(F.col("l_quantity") >= least).select("l_orderkey", "l_linenumber", "l_partkey")
-    return li.select(PROJECT, F.col("l_partkey").cast("string").alias("src"), F.lead("l_partkey").over(w).cast("string").alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
+    return li.select(project(), F.col("l_partkey").cast("string").alias("src"), F.lead("l_partkey").over(w).cast("string").alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
 
 
 FK_SQL = """
@@ -120,7 +121,7 @@ def impact_adj_closure(spark, sf):
 def region_changes(spark, sf) -> DataFrame:
     """A change set for each region, named after it, of the region's own file."""
     r = key("region", "r_regionkey")
-    return read(spark, sf, "region").select(PROJECT, r.alias("change_set_id"), F.lit(0).alias("ord"), F.concat(F.lit("r/region/"), F.col("r_regionkey").cast("string"), F.lit(".go")).alias("path"))
+    return read(spark, sf, "region").select(project(), r.alias("change_set_id"), F.lit(0).alias("ord"), F.concat(F.lit("r/region/"), F.col("r_regionkey").cast("string"), F.lit(".go")).alias("path"))
 
 
 KEYED_SQL = "c AS (SELECT 'region:' || r_regionkey AS change_set_id, 'region:' || r_regionkey AS node_id FROM region UNION SELECT change_set_id, src FROM fk JOIN c ON dst = node_id)"
@@ -162,7 +163,7 @@ FROM (SELECT node_id FROM u UNION SELECT node_id FROM c) WHERE node_id IN (SELEC
 )
 def impact_markers(spark, sf):
     first = read(spark, sf, "orders").where("o_orderstatus = 'F'").agg(F.min("o_orderkey").alias("k"))
-    own = first.select(PROJECT, F.lit("one").alias("change_set_id"), F.lit(0).alias("ord"), F.concat(F.lit("r/order/"), F.col("k").cast("string"), F.lit(".go")).alias("path"))
+    own = first.select(project(), F.lit("one").alias("change_set_id"), F.lit(0).alias("ord"), F.concat(F.lit("r/order/"), F.col("k").cast("string"), F.lit(".go")).alias("path"))
     more = spark.createDataFrame([("p", "one", 1, "r/nation/3.go")], own.schema)
     return report.markers(impact_rows(fk_graph(spark, sf), own.unionByName(more))[1]).select("target", "marker")
 
@@ -193,7 +194,7 @@ def importers_index(spark, sf):
 
 @query("SELECT CAST(l_partkey AS VARCHAR) AS node_id, bool_or(l_returnflag = 'R') AS has_tests, bool_or(l_quantity >= 50) AS has_dynamic FROM lineitem GROUP BY l_partkey")
 def node_upsert(spark, sf):
-    li = read(spark, sf, "lineitem").select(PROJECT, F.col("l_partkey").cast("string").alias("node_id"), (F.col("l_returnflag") == "R").alias("has_tests"), (F.col("l_quantity") >= 50).alias("has_dynamic"))
+    li = read(spark, sf, "lineitem").select(project(), F.col("l_partkey").cast("string").alias("node_id"), (F.col("l_returnflag") == "R").alias("has_tests"), (F.col("l_quantity") >= 50).alias("has_dynamic"))
     return graph.upsert_nodes(li).select("node_id", "has_tests", "has_dynamic")
 
 
@@ -201,7 +202,7 @@ def page_files(spark, sf) -> DataFrame:
     """Pages as files of nodes: the node is the page's id modulo 40 and its host, the file its url without scheme."""
     p = read(spark, sf, "pages").select("page_id", F.regexp_replace("url", r"^[a-z]+://", "").alias("path"))
     host = F.regexp_extract("path", r"^([^/]*)", 1)
-    return p.select(PROJECT, F.concat(host, F.lit("#"), (F.col("page_id") % 40).cast("string")).alias("node_id"), "path", paths.parent(F.col("path")).alias("dir"))
+    return p.select(project(), F.concat(host, F.lit("#"), (F.col("page_id") % 40).cast("string")).alias("node_id"), "path", paths.parent(F.col("path")).alias("dir"))
 
 
 PAGES_SQL = """
@@ -223,7 +224,7 @@ SELECT c.path, coalesce(e.node_id, o.node_id) AS node_id FROM c LEFT JOIN e ON e
 def file_to_node(spark, sf):
     f = page_files(spark, sf)
     own = f.select("path").unionByName(f.where("dir <> '.'").select(F.concat("dir", F.lit("/gone.html")).alias("path"))).distinct()
-    return classify.with_owner(own.select(PROJECT, "path"), f).select("path", "node_id")
+    return classify.with_owner(own.select(project(), "path"), f).select("path", "node_id")
 
 
 # -- classification; a day's events are a change set, users its paths
@@ -232,13 +233,13 @@ def file_to_node(spark, sf):
 def event_changes(spark, sf) -> DataFrame:
     e = read(spark, sf, "events")
     path = F.concat(F.lit("u/"), F.when(F.col("event_type") == "error", F.lit("go.mod")).when(F.col("event_type") == "view", F.concat(F.lit("note"), F.col("user_id").cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("f"), F.col("user_id").cast("string"), F.lit(".go"))))
-    return e.select(PROJECT, F.date_format("ts", "yyyy-MM-dd").alias("change_set_id"), F.col("event_id").cast("int").alias("ord"), path.alias("path"))
+    return e.select(project(), F.date_format("ts", "yyyy-MM-dd").alias("change_set_id"), F.col("event_id").cast("int").alias("ord"), path.alias("path"))
 
 
 def event_classes(spark, sf) -> DataFrame:
     """Even users own two nodes' files, so no folder has one owner."""
     users = read(spark, sf, "events").select("user_id").distinct().where("user_id % 2 = 0")
-    f = users.select(PROJECT, key("user", "user_id").alias("node_id"), F.concat(F.lit("u/f"), F.col("user_id").cast("string"), F.lit(".go")).alias("path"), F.lit("u").alias("dir"))
+    f = users.select(project(), key("user", "user_id").alias("node_id"), F.concat(F.lit("u/f"), F.col("user_id").cast("string"), F.lit(".go")).alias("path"), F.lit("u").alias("dir"))
     return classify.classify(event_changes(spark, sf), f, "go")
 
 
@@ -272,7 +273,7 @@ SELECT CAST(user_id AS VARCHAR) AS path, CAST(min(ord) AS INTEGER) AS ord FROM (
 )
 def changed_distinct_ordered(spark, sf):
     e = read(spark, sf, "events")
-    c = e.select(PROJECT, F.lit("one").alias("change_set_id"), F.col("event_id").cast("int").alias("ord"), F.col("user_id").cast("string").alias("path"), "event_type")
+    c = e.select(project(), F.lit("one").alias("change_set_id"), F.col("event_id").cast("int").alias("ord"), F.col("user_id").cast("string").alias("path"), "event_type")
     both = classify.concatenated(c.where("event_type = 'click'"), c.where("event_type <> 'click'"))
     return classify.ordered_changes(both).select("path", F.col("ord").cast("int").alias("ord"))
 
@@ -306,7 +307,7 @@ def test_file_filter(spark, sf):
 SELECT src, dst FROM adj WHERE src IN (SELECT node_id FROM n) AND dst IN (SELECT node_id FROM n)"""
 )
 def external_edge_filter(spark, sf):
-    nodes = read(spark, sf, "part").where("p_size <= 25").select(PROJECT, F.col("p_partkey").cast("string").alias("node_id"))
+    nodes = read(spark, sf, "part").where("p_size <= 25").select(project(), F.col("p_partkey").cast("string").alias("node_id"))
     return graph.clean_edges(adj_edges(spark, sf, 45), nodes).select("src", "dst")
 
 
@@ -331,17 +332,17 @@ def glob_edges(spark, sf):
     return jest.glob_edges(dirs, f.select("project", "path").distinct()).select("src", "dst")
 
 
-ALIASES = [("p", 0, "^U", 0, "src/u/$1"), ("p", 1, r"^NATION_(\d)(\d?)$", 0, "src/gone/$2"), ("p", 1, r"^NATION_(\d)(\d?)$", 1, "src/$1"), ("p", 2, "^(.*)$", 0, "<rootDir>/src/all/$1")]
+ALIASES = [("/p", 0, "^U", 0, "src/u/$1"), ("/p", 1, r"^NATION_(\d)(\d?)$", 0, "src/gone/$2"), ("/p", 1, r"^NATION_(\d)(\d?)$", 1, "src/$1"), ("/p", 2, "^(.*)$", 0, "<rootDir>/src/all/$1")]
 
 
 @query(
-    """SELECT n_name AS spec, CASE WHEN n_name[8:8] IN ('1', '7') THEN 'p/src/' || n_name[8:8] || '.ts' ELSE 'p/src/all/' || n_name || '.ts' END AS dst FROM nation"""
+    """SELECT n_name AS spec, CASE WHEN n_name[8:8] IN ('1', '7') THEN '/p/src/' || n_name[8:8] || '.ts' ELSE '/p/src/all/' || n_name || '.ts' END AS dst FROM nation"""
 )
 def alias_first_match(spark, sf):
-    spec = read(spark, sf, "nation").select(PROJECT, F.concat(F.lit("p/"), F.col("n_name")).alias("src"), F.col("n_name").alias("spec"))
-    there = spec.select("project", F.concat(F.lit("p/src/all/"), "spec", F.lit(".ts")).alias("path")).unionByName(spark.createDataFrame([("p", "p/src/1.ts"), ("p", "p/src/7.ts")], "project string, path string"))
+    spec = read(spark, sf, "nation").select(F.lit("/p").alias("project"), F.concat(F.lit("/p/"), F.col("n_name")).alias("src"), F.col("n_name").alias("spec"))
+    there = spec.select("project", F.concat(F.lit("/p/src/all/"), "spec", F.lit(".ts")).alias("path")).unionByName(spark.createDataFrame([("/p", "/p/src/1.ts"), ("/p", "/p/src/7.ts")], "project string, path string"))
     found = jest.resolved(spec, spark.createDataFrame(ALIASES, "project string, rule_ord int, pattern string, target_ord int, template string"), there)
-    return found.select(F.regexp_replace("src", "^p/", "").alias("spec"), "dst")
+    return found.select(F.regexp_replace("src", "^/p/", "").alias("spec"), "dst")
 
 
 # -- inline sources

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,11 @@ def read_tree(spark: SparkSession, root: str, pattern: str | None = None) -> Dat
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    df = reader.load(root).select(local(F.col("path")).alias("path"), "content")
+    loaded = reader.load(root)
+    read = loaded.select(local(F.col("path")).alias("path"), "content")
+    listed = [(unquote(p),) for p in loaded.inputFiles()]  # Spark lists on the driver anyway, but leaves empty files out when it reads
+    names = spark.createDataFrame(listed, "path string").select(local(F.col("path")).alias("path"))
+    df = names.join(read, "path", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
     return described(df.withColumn("project", F.lit(root.rstrip("/"))))
 
 
