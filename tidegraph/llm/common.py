@@ -139,33 +139,35 @@ def shingle_sequence(ws: list[str], seen: Hashes, n: int = SHINGLE_WORDS) -> np.
     return out
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, limit: int = 200_000) -> DataFrame:
     """Connected components of ``edges(u, v)`` (longs): rows ``(node, root)``, root the smallest node.
 
-    Alternating large-star and small-star steps; each is one aggregation with partial sums and one join,
-    so that neither a component nor the neighbours of a node meet in one task. Lineage is cut each round.
+    Alternating large-star and small-star steps; each is one aggregation with partial sums and one join, so that neither a component nor the
+    neighbours of a node are gathered in a row. Up to ``limit`` edges the nodes' minima (16 bytes each) are broadcast to them. Beyond it they are
+    checkpointed first, so that both sides of the join come straight from a shuffle and adaptive execution can split a node of many edges.
+    Lineage is cut each round.
     """
     e = checkpoint(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    n = e.count()
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
+        joined = both.join(F.broadcast(least) if n <= limit else checkpoint(least), "u")
         if large:
             return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         kept = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return kept.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
     sign = None
-    for _ in range(rounds):
+    for _ in range(rounds if n else 0):
         e = checkpoint(star(star(e, True), False))
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == sign:
             break
-        sign = now
+        sign, n = now, now.n
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if n:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
