@@ -40,9 +40,9 @@ from . import common
 
 LENGTH, GRAM = 50, 20
 CHUNK_ROWS = 8192
-PART = 1 << 20
+PART = 1 << 19
 #: Phrases that a task gathers before it sends them on.
-FLUSH = 600_000
+FLUSH = 250_000
 #: Buckets of the dictionary for each shuffle partition: many, so that they spread evenly and one is small.
 BUCKETS = 8
 LAST = (1 << 63) - 1
@@ -162,7 +162,7 @@ def ids(column: pa.Array) -> np.ndarray:
     return np.array([LAST if x is None else x for x in column.to_pylist()], np.int64)
 
 
-def rows_of(batch: pa.RecordBatch, step: int = 1000) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes], pa.RecordBatch]]:
+def rows_of(batch: pa.RecordBatch, step: int = 500) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes], pa.RecordBatch]]:
     """Slices of one chunk: (chunk, rows, doc_ids, texts, slice) from batches of (chunk, row, doc_id, text)."""
     chunks = batch.column(0).to_numpy(zero_copy_only=False)
     cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
