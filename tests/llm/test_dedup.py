@@ -81,6 +81,17 @@ def test_repeats(spark):
     same(get(spark.createDataFrame(docs, SCHEMA).repartition(5)), repeats(docs))
 
 
+@pytest.mark.parametrize("hot", [0, 5])
+def test_repeats_of_frequent_triggers(spark, monkeypatch, hot):
+    """A line in many texts, with other text around it: its strings are dealt out singly."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    rows = [(i, " ".join(word() for _ in range(12)) + BASE[:90] + " ".join(word() for _ in range(12))) for i in range(80)] + [(i, t) for i, t in AWKWARD]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    same(suffix_dedup.suffix_dedup(df, suffix_dedup.contract_columns, "n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect(), repeats(rows))
+
+
 def test_repeats_query(spark):
     from tests.conftest import SF
 

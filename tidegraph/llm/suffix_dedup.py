@@ -5,12 +5,17 @@ A byte is removed when a string of ``length`` (50) bytes covers it that also sta
 1. Parse. A rolling hash of 20 bytes triggers where it is the least in some stretch of 31 in a row, so every string of 50 bytes has exactly one trigger
    that is its own, the first least one, wherever it stands. The strings of one trigger, overlapping, make its phrase (50 to 80 bytes). The corpus is
    the sequence of its phrases; equal phrases at equal triggers have equal strings.
-2. Dictionary. Tasks send each distinct phrase of theirs once, as hashes (trigger, phrase, the smallest document with it), to the trigger's owner. Owners find
-   phrases known from a smaller document: all their strings are repeats. A trigger whose phrases differ is open: their strings may still agree in part.
-3. Suffix array. Open phrases alone are sent as bytes. Their owner sorts all suffixes of its part of the dictionary to a depth of 50 bytes and
-   reads off the classes of equal strings, hence of the corpus: a string belongs to one trigger, so to one owner.
+2. Dictionary. Tasks send each distinct phrase of theirs once, as a hash with the smallest document that has it, to the phrase's owner, who finds those known
+   from a smaller document: all their strings are repeats. Each distinct trigger goes once a task, with its smallest and largest document,
+   to the trigger's owner. One that several documents have is open: other phrases of it may still agree in part.
+3. Suffix array. Phrases of open triggers that are not repeats are sent as bytes, and only these. Their owner sorts all suffixes of its part of the dictionary to a
+   depth of 50 bytes and reads off the classes of equal strings, hence of the corpus: a string belongs to one trigger, so to one owner.
+   A trigger with more than HOT phrases (where a line that a third of all documents have begins or ends) is not left to one owner:
+   its strings are sent one by one to owners by their own hash, equal ones of a task once.
 4. The answers, grouped by the rows that they concern, are merged into spans.
 
+No step gathers the rows of a frequent phrase, trigger or string: tasks have summed them up before they are sent. Phrases are told apart by 88 bits of hash, open ones by their bytes.
+
 The whole corpus's order is not written out: removal only needs the classes of equal 50-byte strings, which the parse and the dictionary's suffix array give.
 Triggers are the least of a stretch instead of zero modulo a number, as a plain modulus leaves strings without a trigger.
 
@@ -32,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +49,8 @@ CHUNK_ROWS = 8192
 PART = 1 << 19
 #: Phrases that a task gathers before it sends them on.
 FLUSH = 250_000
+#: Phrases of one trigger (as the sum of what tasks have) above which its strings are dealt out singly.
+HOT = 2048
 #: Buckets of the dictionary for each shuffle partition: many, so that they spread evenly and one is small.
 BUCKETS = 8
 LAST = (1 << 63) - 1
@@ -141,11 +149,14 @@ def unpack(data: bytes, widths: list[int]) -> list[np.ndarray]:
     for w in widths:
         c, at = unplanes(data, at, n, w)
         out.append(c)
-    return [*out, at]
+    return out
 
 
-ENTRY = [5, 6, 8, 3, 4]  # trigger, phrase, doc_id, row, place
-ANSWER = [3, 4, 1]  # row, place, 1 repeat or 2 open
+ENTRY = [8, 3, 8, 3, 4]  # phrase, low bits of its trigger, doc_id, row, place
+TRIGGER = [5, 8, 8, 2]  # trigger, smallest doc_id, largest less smallest, phrases
+REPEAT = [3, 4]  # row, place
+IS_OPEN = [5, 1]  # trigger, 1 if hot
+LOW = (1 << 40) - 1
 SPAN = [3, 8, 8]  # row, start, end
 OPEN = [5, 8, 3, 8, 1, 1]  # trigger, doc_id, row, start, strings, phrase's length
 
@@ -185,26 +196,34 @@ def to_dictionary(n: int):
             for v in held.values():
                 v.clear()
             have = 0
-            key = common.mix(c["trigger"] + common.mix(c["phrase"]))
-            order = np.lexsort((c["doc"], key))
-            key = key[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            smallest = c["doc"][order][np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-            repeat = np.empty(len(key), bool)
+            order = np.lexsort((c["doc"], c["trigger"], c["phrase"]))
+            phrase, trigger = c["phrase"][order], c["trigger"][order]
+            first = np.concatenate([[True], (phrase[1:] != phrase[:-1]) | (trigger[1:] != trigger[:-1])])
+            smallest = c["doc"][order][np.maximum.accumulate(np.where(first, np.arange(len(phrase)), 0))]
+            repeat = np.empty(len(phrase), bool)
             repeat[order] = c["doc"][order] > smallest
             buckets, chunks, blobs = [], [], []
+
+            def add(bucket: int, chunk: int, blob: bytes) -> None:
+                buckets.append(bucket)
+                chunks.append(chunk)
+                blobs.append(blob)
+
             for chunk, places in split_by(c["chunk"]):
                 known = places[repeat[places]]
                 if len(known):
-                    buckets.append(chunk % n)
-                    chunks.append(chunk)
-                    blobs.append(b"A" + pack([(c["row"][known], 3), (c["ord"][known], 4), (np.ones(len(known), np.int64), 1)]))
+                    add(chunk % n, chunk, b"R" + pack([(c["row"][known], 3), (c["ord"][known], 4)]))
                 rest = places[~repeat[places]]
-                for b, own in split_by(bucket_of(c["trigger"][rest], n)):
+                for b, own in split_by(bucket_of(c["phrase"][rest], n)):
                     own = rest[own]
-                    buckets.append(b)
-                    chunks.append(chunk)
-                    blobs.append(b"E" + pack([(c["trigger"][own], 5), (c["phrase"][own], 6), (c["doc"][own], 8), (c["row"][own], 3), (c["ord"][own], 4)]))
+                    add(b, chunk, b"E" + pack([(c["phrase"][own], 8), (c["trigger"][own], 3), (c["doc"][own], 8), (c["row"][own], 3), (c["ord"][own], 4)]))
+                trigger, at = np.unique(c["trigger"][places], return_inverse=True)
+                by = places[np.argsort(at, kind="stable")]
+                cuts = np.searchsorted(np.sort(at), np.arange(len(trigger)))
+                low, high = np.minimum.reduceat(c["doc"][by], cuts), np.maximum.reduceat(c["doc"][by], cuts)
+                size = np.minimum(np.add.reduceat(~repeat[by], cuts, dtype=np.int64), 65535)
+                for b, own in split_by(bucket_of(trigger, n)):
+                    add(b, chunk, b"T" + pack([(trigger[own], 5), (low[own], 8), (high[own] - low[own], 8), (size[own], 2)]))
             return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "blob"])
 
         for batch in batches:
@@ -239,104 +258,165 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, byt
         yield held
 
 
-def blobs_by_chunk(chunk: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
-    found = [(c, pack([(x[at], w) for x, w in columns])) for c, at in split_by(chunk)]
+def blobs_by_chunk(kind: bytes, chunk: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+    found = [(c, kind + pack([(x[at], w) for x, w in columns])) for c, at in split_by(chunk)]
     return pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], ["chunk", "blob"])
 
 
+def passed_on(rows: list[tuple[int, bytes]], kind: bytes) -> Iterator[pa.RecordBatch]:
+    """Answers that a task knew by itself, on their way to their chunk."""
+    mine = [(c, b) for c, b in rows if b[:1] == kind]
+    if mine:
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in mine], pa.int64()), pa.array([b for _, b in mine], pa.binary())], ["chunk", "blob"])
+
+
+def unpacked(rows: list[tuple[int, bytes]], kind: bytes, widths: list[int]) -> list[np.ndarray] | None:
+    """The columns of all blobs of a kind, the chunk first."""
+    got = [(c, unpack(b[1:], widths)) for c, b in rows if b[:1] == kind]
+    return [np.concatenate([np.full(len(x[0]), c) for c, x in got]), *(np.concatenate([x[i] for _, x in got]) for i in range(len(widths)))] if got else None
+
+
 def own_dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, the owners: which phrases are repeats, which are open."""
+    """Step 2, the owners: which phrases are repeats, which triggers are open."""
     for rows in by_bucket(batches):
-        passed = [(c, b[1:]) for c, b in rows if b[:1] == b"A"]
-        if passed:
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in passed], pa.int64()), pa.array([b for _, b in passed], pa.binary())], ["chunk", "blob"])
-        got = [(c, unpack(b[1:], ENTRY)) for c, b in rows if b[:1] == b"E"]
-        if not got:
-            continue
-        chunk = np.concatenate([np.full(len(x[0]), c) for c, x in got])
-        trigger, phrase, doc, row, place = (np.concatenate([x[i] for _, x in got]) for i in range(5))
-        doc = doc.view(np.int64)
-        order = np.lexsort((doc, phrase, trigger))
-        t, p, d = trigger[order], phrase[order], doc[order]
-        new_t = np.concatenate([[True], t[1:] != t[:-1]])
-        new_p = new_t | np.concatenate([[True], p[1:] != p[:-1]])
-        at_p, at_t = np.flatnonzero(new_p), np.flatnonzero(new_t)
-        smallest = np.repeat(d[at_p], np.diff(at_p, append=len(d)))
-        repeat = d > smallest
-        low = np.minimum.reduceat(d, at_t)
-        high = np.maximum.reduceat(np.where(repeat, np.iinfo(np.int64).min, d), at_t)
-        is_open = ~repeat & np.repeat(high > low, np.diff(at_t, append=len(d)))
-        keep = order[repeat | is_open]
-        status = np.where(repeat, 1, 2)[repeat | is_open]
-        if len(keep):
-            yield blobs_by_chunk(chunk[keep], [(row[keep], 3), (place[keep], 4), (status, 1)])
+        yield from passed_on(rows, b"R")
+        if (got := unpacked(rows, b"E", ENTRY)) is not None:
+            chunk, phrase, trigger, doc, row, place = got
+            doc = doc.view(np.int64)
+            order = np.lexsort((doc, trigger, phrase))
+            p, t, d = phrase[order], trigger[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (t[1:] != t[:-1])]))
+            keep = order[d > np.repeat(d[first], np.diff(first, append=len(d)))]
+            if len(keep):
+                yield blobs_by_chunk(b"R", chunk[keep], [(row[keep], 3), (place[keep], 4)])
+        if (got := unpacked(rows, b"T", TRIGGER)) is not None:
+            chunk, trigger, low, more, size = got
+            low = low.view(np.int64)
+            high = low + more.view(np.int64)
+            order = np.argsort(trigger, kind="stable")
+            t = trigger[order]
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            is_open = np.minimum.reduceat(low[order], first) < np.maximum.reduceat(high[order], first)
+            hot = np.add.reduceat(size[order].astype(np.int64), first) > HOT
+            each = np.diff(first, append=len(t))
+            keep = np.repeat(is_open, each)
+            if keep.any():
+                yield blobs_by_chunk(b"T", chunk[order[keep]], [(t[keep], 5), (np.repeat(hot, each)[keep], 1)])
 
 
 class Answers:
     """Blobs of a chunk from a folder that is partitioned by chunk; the last chunk's stay."""
 
-    def __init__(self, folder: str, widths: list[int]) -> None:
+    def __init__(self, folder: str, kinds: dict[bytes, list[int]]) -> None:
         self.fs, self.root = pafs.FileSystem.from_uri(folder)
-        self.widths, self.at, self.columns = widths, None, None
+        self.kinds, self.at, self.columns = kinds, None, {}
 
-    def get(self, chunk: int) -> list[np.ndarray]:
-        """The columns, in the order of rows."""
+    def get(self, chunk: int, kind: bytes) -> list[np.ndarray]:
+        """The columns, in the order of the first."""
         if chunk != self.at:
             files = self.fs.get_file_info(pafs.FileSelector(f"{self.root}/chunk={chunk}", allow_not_found=True))
             blobs = [x for f in files if f.base_name.endswith(".parquet") for x in pq.read_table(f.path, filesystem=self.fs, columns=["blob"]).column(0).to_pylist()]
-            got = [unpack(b, self.widths)[:-1] for b in blobs]
-            columns = [np.concatenate([g[i] for g in got]) if got else np.empty(0, U) for i in range(len(self.widths))]
-            order = np.argsort(columns[0], kind="stable")
-            self.at, self.columns = chunk, [c[order].astype(np.int64) for c in columns]
-        return self.columns
-
-    def of(self, chunk: int, rows: np.ndarray, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``p`` and their answers."""
-        row, place, status = self.get(chunk)
+            self.at, self.columns = chunk, {}
+            for k, widths in self.kinds.items():
+                got = [unpack(b[1:], widths) for b in blobs if b[:1] == k]
+                columns = [np.concatenate([g[i] for g in got]) if got else np.empty(0, U) for i in range(len(widths))]
+                order = np.argsort(columns[0], kind="stable")
+                self.columns[k] = [c[order].astype(np.int64) for c in columns]
+        return self.columns[kind]
+
+    def repeats(self, chunk: int, rows: np.ndarray, p: Phrases) -> np.ndarray:
+        """Whether each phrase of ``p``, the parse of ``rows``, is a repeat."""
+        row, place = self.get(chunk, b"R")
+        out = np.zeros(len(p.doc), bool)
         starts = np.searchsorted(p.doc, np.arange(len(rows) + 1))
-        order = np.argsort(rows)
-        at = np.searchsorted(rows[order], row)
-        mine = (at < len(rows)) & (rows[order][np.minimum(at, len(rows) - 1)] == row)
-        return starts[order[at[mine]]] + place[mine], status[mine]
+        text, mine = texts_of(row, rows)
+        out[starts[text] + place[mine]] = True
+        return out
+
+    def open(self, chunk: int, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each phrase's trigger is open, and whether it is hot."""
+        trigger, hot = self.get(chunk, b"T")
+        if not len(trigger):
+            return np.zeros(len(p.doc), bool), np.zeros(len(p.doc), bool)
+        own = (p.trigger & U(LOW)).astype(np.int64)
+        at = np.minimum(np.searchsorted(trigger, own), len(trigger) - 1)
+        hit = trigger[at] == own
+        return hit, hit & (hot[at] > 0)
+
+
+def texts_of(row: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For those of ``row`` that are among ``rows``: their place there, and which they are."""
+    order = np.argsort(rows)
+    at = np.minimum(np.searchsorted(rows[order], row), len(rows) - 1)
+    mine = rows[order][at] == row
+    return order[at[mine]], np.flatnonzero(mine)
 
 
 def open_phrases(n: int, folder: str):
-    """Step 3, where texts are read: the open phrases as bytes, by bucket."""
+    """Step 3, where texts are read: phrases to be compared as bytes, by bucket, and the repeats among a task's own strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers = Answers(folder, ANSWER)
+        answers = Answers(folder, {b"R": REPEAT, b"T": IS_OPEN})
         held: dict[tuple[int, int], list] = {}
+        strings: dict[bytes, list[tuple[int, int, int, int]]] = {}  # of hot triggers: doc_id, chunk, row, start
         size = 0
 
-        def flush() -> pa.RecordBatch:
+        def keep(chunk: int, trigger, doc, row, lo, k, raws: list[bytes]) -> None:
+            nonlocal size
+            for b, own in split_by(bucket_of(trigger, n)):
+                held.setdefault((b, chunk), []).append(([x[own] for x in (trigger, doc, row, lo, k, k + LENGTH - 1)], b"".join([raws[i] for i in own.tolist()])))
+            size += sum(map(len, raws))
+
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
-            keys = sorted(held)
-            blobs = []
-            for k in keys:
-                cols = [np.concatenate([x[0][i] for x in held[k]]) for i in range(len(OPEN))]
-                blobs.append(pack(list(zip(cols, OPEN, strict=True))) + b"".join(x[1] for x in held[k]))
-            out = pa.RecordBatch.from_arrays([pa.array([b for b, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "blob"])
+            buckets, chunks, blobs = [], [], []
+            single: dict[int, list[tuple[int, int, int, bytes]]] = {}
+            known: dict[int, list[tuple[int, int]]] = {}
+            for s, found in strings.items():
+                least = min(found)[0]
+                for doc, chunk, row, lo in found:
+                    if doc > least:
+                        known.setdefault(chunk, []).append((row, lo))
+                    else:
+                        single.setdefault(chunk, []).append((doc, row, lo, s))
+            strings.clear()
+            for chunk, found in single.items():
+                doc, row, lo = (np.array([f[i] for f in found], np.int64) for i in range(3))
+                raws = [f[3] for f in found]
+                keep(chunk, np.array([xxhash.xxh64_intdigest(r) for r in raws], U), doc, row, lo, np.ones(len(raws), np.int64), raws)
+            for chunk, found in known.items():
+                row, lo = (np.array([f[i] for f in found], np.int64) for i in range(2))
+                buckets.append(chunk % n)
+                chunks.append(chunk)
+                blobs.append(b"S" + pack([(row, 3), (lo, 8), (lo + LENGTH, 8)]))
+            for bucket, chunk in sorted(held):
+                cols = [np.concatenate([x[0][i] for x in held[bucket, chunk]]) for i in range(len(OPEN))]
+                buckets.append(bucket)
+                chunks.append(chunk)
+                blobs.append(b"P" + pack(list(zip(cols, OPEN, strict=True))) + b"".join(x[1] for x in held[bucket, chunk]))
             held.clear()
             size = 0
-            return out
+            if blobs:
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "blob"])
 
         for batch in batches:
             for chunk, rows, docs, texts, _ in rows_of(batch):
-                if not len(answers.get(chunk)[0]):
+                if not len(answers.get(chunk, b"T")[0]):
                     continue
                 p = Phrases(texts)
-                places, status = answers.of(chunk, rows, p)
-                places = np.sort(places[status == 2])
-                for b, own in split_by(bucket_of(p.trigger[places], n)):
-                    own = places[own]
-                    lo, k = p.lo[own], p.n[own]
-                    raw = b"".join([texts[d][s : s + m + LENGTH - 1] for d, s, m in zip(p.doc[own].tolist(), lo.tolist(), k.tolist(), strict=True)])
-                    held.setdefault((b, chunk), []).append(([p.trigger[own], docs[p.doc[own]], rows[p.doc[own]], lo, k, k + LENGTH - 1], raw))
-                    size += len(raw)
+                is_open, hot = answers.open(chunk, p)
+                is_open &= ~answers.repeats(chunk, rows, p)
+                cold = np.flatnonzero(is_open & ~hot)
+                raws = [texts[d][s : s + m + LENGTH - 1] for d, s, m in zip(p.doc[cold].tolist(), p.lo[cold].tolist(), p.n[cold].tolist(), strict=True)]
+                keep(chunk, p.trigger[cold], docs[p.doc[cold]], rows[p.doc[cold]], p.lo[cold], p.n[cold], raws)
+                for i in np.flatnonzero(is_open & hot).tolist():
+                    d = int(p.doc[i])
+                    for at in range(int(p.lo[i]), int(p.lo[i] + p.n[i])):
+                        strings.setdefault(texts[d][at : at + LENGTH], []).append((int(docs[d]), chunk, int(rows[d]), at))
+                        size += 40
                 if size > 16 << 20:
-                    yield flush()
-        if held:
-            yield flush()
+                    yield from flush()
+        yield from flush()
 
     return run
 
@@ -344,12 +424,11 @@ def open_phrases(n: int, folder: str):
 def own_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3, the owners: the suffix array of the open phrases to a depth of LENGTH, and the strings that a smaller document has too."""
     for rows in by_bucket(batches):
-        got, raws = [], []
-        for chunk, blob in rows:
-            *cols, at = unpack(blob, OPEN)
-            got.append([np.full(len(cols[0]), chunk), *cols])
-            raws.append(blob[at:])
-        chunk, trigger, doc, row, lo, k, size = (np.concatenate([g[i] for g in got]) for i in range(7))
+        yield from passed_on(rows, b"S")
+        if (got := unpacked(rows, b"P", OPEN)) is None:
+            continue
+        raws = [blob[9 + int.from_bytes(blob[1:9], "little") * sum(OPEN) :] for _, blob in rows if blob[:1] == b"P"]
+        chunk, trigger, doc, row, lo, k, size = got
         doc, row, lo, k, size = (x.astype(np.int64) for x in (doc, row, lo, k, size))
         data = np.frombuffer(b"".join(raws) + bytes(8), np.uint8)
         starts = np.cumsum(size) - size
@@ -386,7 +465,7 @@ def own_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run = np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(of[hit]) != 0)])
                 r = np.flatnonzero(run)
                 s, e = hit[r], hit[np.append(r[1:], len(hit)) - 1]
-                yield blobs_by_chunk(chunk[of[s]], [(row[of[s]], 3), (lo[of[s]] + j[s], 8), (lo[of[s]] + j[e] + LENGTH, 8)])
+                yield blobs_by_chunk(b"S", chunk[of[s]], [(row[of[s]], 3), (lo[of[s]] + j[s], 8), (lo[of[s]] + j[e] + LENGTH, 8)])
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -402,21 +481,17 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def removed_spans(answers: str, spans: str, columns):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, more = Answers(answers, ANSWER), Answers(spans, SPAN)
+        known, more = Answers(answers, {b"R": REPEAT}), Answers(spans, {b"S": SPAN})
         for batch in batches:
             for chunk, rows, _, texts, s in rows_of(batch):
-                if len(known.get(chunk)[0]):
+                doc = lo = hi = np.empty(0, np.int64)
+                if len(known.get(chunk, b"R")[0]):
                     p = Phrases(texts)
-                    places, status = known.of(chunk, rows, p)
-                    places = places[status == 1]
-                    doc, lo, hi = p.doc[places], p.lo[places], p.lo[places] + p.n[places] - 1 + LENGTH
-                else:
-                    doc = lo = hi = np.empty(0, np.int64)
-                row, start, end = more.get(chunk)
-                order = np.argsort(rows)
-                at = np.searchsorted(rows[order], row)
-                mine = (at < len(rows)) & (rows[order][np.minimum(at, len(rows) - 1)] == row)
-                doc, lo, hi = np.append(doc, order[at[mine]]), np.append(lo, start[mine]), np.append(hi, end[mine])
+                    at = np.flatnonzero(known.repeats(chunk, rows, p))
+                    doc, lo, hi = p.doc[at], p.lo[at], p.lo[at] + p.n[at] - 1 + LENGTH
+                row, start, end = more.get(chunk, b"S")
+                text, mine = texts_of(row, rows)
+                doc, lo, hi = np.append(doc, text), np.append(lo, start[mine]), np.append(hi, end[mine])
                 by = np.argsort(doc, kind="stable")
                 cuts = np.searchsorted(doc[by], np.arange(len(rows) + 1))
                 found = [merged(lo[by[a:b]], hi[by[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
