@@ -36,7 +36,10 @@ STEP = 32
 TOLERANCE = 1e-9
 #: Members of clusters (about 60 bytes each) that are sent to the tasks that read texts; more are joined by a shuffle.
 MEMBERS = 200_000
+#: Bounds of a block. A cluster of more than ONE_BLOCK members has at least SPREAD * sqrt(members) blocks, hence about its number of members / 12
+#: pairs of blocks for as many tasks, while a member is sent to no more than that many tasks.
 BLOCK_DOCS, BLOCK_SHINGLES = 2048, 1_000_000
+ONE_BLOCK, SPREAD = 256, 0.4
 
 
 def permutations(k: int, seed: int = 20_240_501) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +233,9 @@ def ngram_join(docs: DataFrame, threshold: float = common.THRESHOLD, tolerance:
     edges = keys.join(shared, "key").where("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
     clusters = common.components(edges)
     sized = clusters.withColumnRenamed("node", "rep").join(nodes.select("rep", "set_hash", "n_shingles", "mult"), "rep")
-    blocks = sized.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    n = F.count("*")
+    least = F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    blocks = sized.groupBy("root").agg(F.greatest(least, F.when(n > ONE_BLOCK, F.ceil(F.sqrt(n) * SPREAD)).otherwise(1)).cast("int").alias("blocks"))
     members = sized.join(blocks, "root").select("rep", F.col("root").alias("cluster"), "mult", "blocks", "set_hash")
     members = common.small(common.checkpoint(members), MEMBERS)
     found = common.checkpoint(linked_blocks(members, docs, threshold, tolerance))
