@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,34 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..work import checkpoint, work_dir
+
 #: Words of near-duplicate operators: maximal runs of characters that are not white space, in lower case.
 WORD = re.compile(r"\S+")
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a folder of our own where that is unset."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidegraph-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the shared folder, which outlives executors."""
-    work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema, rows: int = 1000) -> DataFrame:
     """``mapInArrow`` in slices of at most ``rows`` rows. ``make`` runs once a task and returns the function of a batch."""
 

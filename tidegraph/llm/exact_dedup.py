@@ -17,7 +17,6 @@ of that group with a null doc_id count as kept); an empty table gives no rows; o
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,7 +64,7 @@ class Pages:
                 return
             at -= 1
         if not self.entries:
-            self.lo, self.depth = key, self.depth
+            self.lo = key
         self.entries.append([key, chain, doc, size, text])
         self.bytes += len(text)
         while len(self.entries) > self.capacity or self.bytes > self.capacity_bytes:
@@ -190,10 +189,6 @@ def exact_dedup(docs: DataFrame, *, capacity: int = CAPACITY, capacity_bytes: in
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def sha256_hex(norm: str) -> str:
-    return hashlib.sha256(norm.encode()).hexdigest()
-
-
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.read(spark, sf_dir, "documents"))
 
