@@ -121,7 +121,7 @@ class Phrases:
         p = part[lo]
         text = np.array([g[0] for g in group])[p]
         offset = np.array([g[1] for g in group])[p] - (ends - sizes)[p]
-        return [text, lo + offset, hi - lo + 1, rolling[trigger], phrase]
+        return [text, lo + offset, hi - lo + 1, common.mix(~rolling[trigger]), phrase]  # mixed anew: the least of many hashes is small
 
 
 def bucket_of(trigger: np.ndarray, n: int) -> np.ndarray:
