@@ -16,4 +16,11 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
-SQL = {"op1_ngram_join": ngram_join.SQL, "op3_chat_format": chat_format.SQL, "op9_decontaminate": decontaminate.SQL, "op4_exact_dedup": exact_dedup.SQL}
+SQL = {
+    "op1_ngram_join": ngram_join.SQL,
+    "op3_chat_format": chat_format.SQL,
+    "op4_exact_dedup": exact_dedup.SQL,
+    "op7_suffix_dedup": suffix_dedup.SQL,
+    "op9_decontaminate": decontaminate.SQL,
+    "op10_secret_scan": secret_scan.sql(),
+}

@@ -375,3 +375,29 @@ def contract_columns(spans: list[list[tuple[str, int, int]]]) -> list[pa.Array]:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.read(spark, sf_dir, "documents"), digest=contract_columns, schema="doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The contract's rows in DuckDB: matches are put between two private characters, and their places counted from the pieces between these."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    table = ", ".join(f"({k}, {quoted(r.kind)}, {quoted(r.pattern)}, {r.least}, {str(bool(r.after)).lower()})" for k, r in enumerate(rules))
+    base = ", ".join(map(quoted, BASE))
+    return rf"""
+WITH r(k, kind, pattern, least, assigned) AS (VALUES {table}),
+m AS (
+  SELECT doc_id, k, kind, least, assigned, string_split(regexp_replace(coalesce(text, ''), pattern, chr(57344) || '\0' || chr(57345), 'g'), chr(57344)) AS parts FROM documents, r
+),
+p AS (SELECT doc_id, k, kind, least, assigned, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM m WHERE len(parts) > 1),
+s AS (
+  SELECT doc_id, k, kind, least, assigned, i, split_part(part, chr(57345), 1) AS hit,
+    sum(length(replace(part, chr(57345), ''))) OVER (PARTITION BY doc_id, k ORDER BY i) - length(replace(part, chr(57345), '')) AS start
+  FROM p
+),
+f AS (
+  SELECT doc_id, k, kind, start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(hit) AS BIGINT) AS span FROM s
+  WHERE i > 1 AND length(CASE WHEN assigned THEN regexp_extract(hit, '^[^:=]*[:=] *["'']?(.*)$', 1) ELSE hit END) >= least
+)
+SELECT d.doc_id, count(span) FILTER (WHERE kind = 'assign') AS n_assign, count(span) FILTER (WHERE kind = 'access') AS n_access, count(span) FILTER (WHERE kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, k) FILTER (WHERE kind IN ({base})), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, k), '') AS spans
+FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+"""

@@ -562,3 +562,20 @@ def suffix_dedup(docs: DataFrame, columns=span_columns, schema: str = "n_bytes l
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(common.read(spark, sf_dir, "documents"), contract_columns, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+c AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE least < doc_id),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM c)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+k AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q FROM r
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(length(h)) // 2 FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
+)
+SELECT d.doc_id, CAST(any_value(length(h)) // 2 AS BIGINT) AS n_bytes, CAST(any_value(length(h)) // 2 - sum(q - p) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+  sha256(unhex(string_agg(substr(h, 2 * p + 1, 2 * (q - p)), '' ORDER BY p))) AS kept_sha256
+FROM k JOIN d USING (doc_id) GROUP BY d.doc_id
+"""
