@@ -254,7 +254,7 @@ def test_report(spark):
     i = compute(g, c)
     assert [(r.target, r.marker, r.selected, r.total, r.skip_pct) for r in report.report(i, g.nodes).orderBy("target").collect()] == [("a", "*", 3, 8, 62.0), ("b", " ", 3, 8, 62.0), ("u", "~", 3, 8, 62.0)]
     lines = report.text(i.first(), 8, "go", "/r")
-    assert lines[0].endswith("selected 3/8 test target(s) (go, 62% skipped)") and lines[-3:] == ["  * a", "    b", "  ~ u"]
+    assert lines[0] == "tidegraph: 3 of 8 test targets to run (go, 62% left out)" and lines[-3:] == ["  * a", "    b", "  ~ u"]
     full = spark.createDataFrame([("p", "s", True, ["/r/go.mod", "/x/y"], [])], "project string, change_set_id string, full_run boolean, full_run_reasons array<string>, targets array<string>")
     assert [r.reason for r in report.full_run_report(full, F.lit("/r")).orderBy("ord").collect()] == ["go.mod", "/x/y"]
 

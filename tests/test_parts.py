@@ -127,14 +127,14 @@ def test_command_line(project, spark):
     root, _ = project
     said = []
     assert cli.run(spark, str(root), cli.parse(["test"]), said.append) == 0
-    assert said == ["tidegraph: no changed files detected, nothing to test"]
+    assert said == ["tidegraph: no file has changed"]
     (root / "a.py").write_text("X = 3\n")
     said.clear()
     assert cli.run(spark, str(root), cli.parse(["test", "--dry-run", "-v", "--", "-x"]), said.append) == 0
-    assert said == ["tidegraph: 1 changed file(s):", "  a.py", "tidegraph: selected 1/2 test target(s) (pytest, 50% skipped)", "    test_b.py", "tidegraph: dry-run, not executing tests"]
+    assert said == ["tidegraph: changed files: 1", "  a.py", "tidegraph: 1 of 2 test targets to run (pytest, 50% left out)", "    test_b.py", "tidegraph: dry run, nothing is executed"]
     said.clear()
     cli.run(spark, str(root), cli.parse(["test", "--all", "--dry-run"]), said.append)
-    assert said[0] == "tidegraph: --all set, running the full test suite (pytest)"
+    assert said[0] == "tidegraph: all tests were asked for (pytest)"
     assert cli.parse(["test", "--base", "main", "--", "-k", "x"]) == cli.Options("main", extra=["-k", "x"])
 
 

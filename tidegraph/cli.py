@@ -66,20 +66,20 @@ def run(spark: SparkSession, folder: str, options: Options, out=print) -> int:
 
     def finish(targets: list[str]) -> int:
         if options.dry_run:
-            out("tidegraph: dry-run, not executing tests")
+            out("tidegraph: dry run, nothing is executed")
             return 0
         return commands.run(argv_for(spark, analyzer.name, folder, targets, options.extra), folder)
 
     if options.all:
-        out(f"tidegraph: --all set, running the full test suite ({analyzer.name})")
+        out(f"tidegraph: all tests were asked for ({analyzer.name})")
         patterns = analyzer.all_targets(files).first() if analyzer.all_targets and not options.dry_run else None
         return finish(list(patterns["patterns"]) if patterns else [])
     changed = git.changed_files(root, options.base)
     if not changed:
-        out("tidegraph: no changed files detected, nothing to test")
+        out("tidegraph: no file has changed")
         return 0
     if options.verbose:
-        out(f"tidegraph: {len(changed)} changed file(s):")
+        out(f"tidegraph: changed files: {len(changed)}")
         for p in changed:
             out(f"  {report.relative_text(p, root)}")
     graph = analyzer.build(files)

@@ -52,8 +52,8 @@ def changed_report(changes: DataFrame, root: Column) -> DataFrame:
     return c.join(n, SET).select(*SET, "n_changed", "ord", paths.relative_or_self(root, F.col("path")).alias("path"))
 
 
-HINT = "Converting it to a statically-resolvable import regains precision."
-HINT_JEST = "Converting it to a static import (or a moduleNameMapper/tsconfig alias) regains precision."
+HINT = "An import of a fixed name would end that."
+HINT_JEST = "An import of a fixed path, or an alias in moduleNameMapper or tsconfig, would end that."
 
 
 def relative_text(path: str, root: str) -> str:
@@ -63,13 +63,13 @@ def relative_text(path: str, root: str) -> str:
 def text(row, total: int, analyzer: str, root: str) -> list[str]:
     """The lines for one change set, from its row of ``compute``."""
     if row["full_run"]:
-        return [f"tidegraph: could not safely narrow the test set, running the full suite ({analyzer}). Reason(s):", *(f"  - {relative_text(r, root)}" for r in row["full_run_reasons"])]
+        return [f"tidegraph: all tests run ({analyzer}), as these changes could reach any of them:", *(f"  - {relative_text(r, root)}" for r in row["full_run_reasons"])]
     targets = row["targets"]
     if not targets:
-        return ["tidegraph: no test targets are affected by this change"]
+        return ["tidegraph: the change reaches no test"]
     pct = (total - len(targets)) / total * 100 if total else 0.0
-    out = [f"tidegraph: selected {len(targets)}/{total} test target(s) ({analyzer}, {pct:.0f}% skipped)"]
+    out = [f"tidegraph: {len(targets)} of {total} test targets to run ({analyzer}, {pct:.0f}% left out)"]
     changed, uncertain = set(row["changed_targets"]), set(row["uncertain_targets"])
     if uncertain:
-        out.append(f"tidegraph: {len(uncertain)} target(s) below (marked ~) contain an import that can't be resolved statically, so they always run. {HINT_JEST if analyzer == 'jest' else HINT}")
+        out.append(f"tidegraph: {len(uncertain)} of them, marked ~, depend on an import whose target only shows at run time, and run with every change. {HINT_JEST if analyzer == 'jest' else HINT}")
     return out + [f"  {'*' if t in changed else '~' if t in uncertain else ' '} {relative_text(t, root)}" for t in targets]
