@@ -38,6 +38,7 @@ def test_index_pages(spark):
     assert sum(p.n for p in pages) == 500 and max(p.n for p in pages) <= 8
     slots = [(p.prefix << (64 - p.depth), (p.prefix + 1) << (64 - p.depth)) for p in pages if p.depth]
     assert all(lo <= (k % (1 << 64)) < hi for p, (lo, hi) in zip(pages, slots, strict=True) for k in p.key)
+    assert all(a[1] <= b[0] for a, b in zip(sorted(slots), sorted(slots)[1:], strict=False))  # a key has one bucket
     d = exact_dedup.directory(index).collect()
     assert {r.global_depth for r in d} == {max(p.depth for p in pages)}
 

@@ -298,7 +298,8 @@ def digests(pieces: DataFrame) -> DataFrame:
 
 def write_formatted(records: DataFrame, path: str, piece: int = 1 << 18) -> DataFrame:
     """Render ``records`` into a Parquet table at ``path`` and return it as read back."""
-    format_records(records, piece).write.mode("errorifexists").parquet(path)
+    with common.batch_rows(records.sparkSession, common.BATCH):
+        format_records(records, piece).write.mode("errorifexists").parquet(path)
     return records.sparkSession.read.schema(PIECES).parquet(path)
 
 

@@ -18,6 +18,8 @@ from ..work import checkpoint, work_dir
 WORD = re.compile(r"\S+")
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
+#: Rows of texts that Spark sends a Python worker at once.
+BATCH, BATCH_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -26,7 +28,12 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema, rows: int = 1000) -> DataFrame:
-    """``mapInArrow`` in slices of at most ``rows`` rows. ``make`` runs once a task and returns the function of a batch."""
+    """``mapInArrow`` in slices of at most ``rows`` rows. ``make`` runs once a task and returns the function of a batch.
+
+    Where the session leaves Arrow's batches at Spark's default, which for texts is tens of megabytes on both sides, they are set to BATCH rows.
+    """
+    if df.sparkSession.conf.get(BATCH_KEY, None) is None:
+        df.sparkSession.conf.set(BATCH_KEY, str(BATCH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -48,13 +55,12 @@ def drop(spark: SparkSession, path: str) -> None:
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """Within it, jobs send Python at most ``rows`` rows at once (for rows of many kilobytes)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
+    before = spark.conf.get(BATCH_KEY, None)
+    spark.conf.set(BATCH_KEY, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+        spark.conf.set(BATCH_KEY, before) if before is not None else spark.conf.unset(BATCH_KEY)
 
 
 def small(df: DataFrame, limit: int) -> DataFrame:

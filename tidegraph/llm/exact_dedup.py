@@ -28,6 +28,7 @@ from . import common
 SPACES = r"[\x20\x09-\x0D]+"
 CAPACITY = 512
 CAPACITY_BYTES = 4 << 20
+OWNERS = 8
 PAGE_SCHEMA = "depth int, prefix long, n int, key array<long>, chain array<int>, chained array<int>, keep_id array<long>, size array<long>, text array<binary>"
 
 
@@ -42,13 +43,13 @@ def key_of(norm: Column, key_bits: int) -> Column:
 
 
 class Pages:
-    """One owner's part of the index, filled in unsigned key order."""
+    """One owner's part of the index, filled in unsigned key order. An owner has the keys of one prefix of ``depth`` bits, so its buckets begin there."""
 
-    def __init__(self, capacity: int, capacity_bytes: int) -> None:
+    def __init__(self, capacity: int, capacity_bytes: int, depth: int = 0) -> None:
         self.capacity, self.capacity_bytes = capacity, capacity_bytes
         self.entries: list[list] = []  # [key, chain position, doc, size, text]
         self.bytes = 0
-        self.lo, self.depth = 0, 0  # the bucket: keys with the leading ``depth`` bits of ``lo``
+        self.lo, self.depth = 0, depth  # the bucket: keys with the leading ``depth`` bits of ``lo``
 
     def put(self, key: int, doc: int | None, size: int, text: bytes) -> Iterator[dict]:
         if self.entries and self.depth and key >> (64 - self.depth) != self.lo >> (64 - self.depth):
@@ -137,22 +138,24 @@ def build_index(docs: DataFrame, path: str, *, capacity: int = CAPACITY, capacit
     norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
     part = combined(norm.withColumn("key", key_of(F.col("norm"), key_bits)))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    owner = F.floor(F.shiftrightunsigned("key", 33) * n / F.lit(2.0**31)).cast("int")
+    bits = (OWNERS * n - 1).bit_length()  # several owners a partition, so that they spread evenly
+    owner = F.shiftrightunsigned("key", 64 - bits).cast("int")
     owned = part.withColumn("owner", owner).repartition(n, "owner").withColumn("order", F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).sortWithinPartitions("owner", "order")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("depth", pa.int32()), ("prefix", pa.int64()), ("n", pa.int32()), ("key", pa.list_(pa.int64())), ("chain", pa.list_(pa.int32())), ("chained", pa.list_(pa.int32())), ("keep_id", pa.list_(pa.int64())), ("size", pa.list_(pa.int64())), ("text", pa.list_(pa.binary()))])
-        now, pages = None, Pages(capacity, capacity_bytes)
+        now, pages = None, Pages(capacity, capacity_bytes, bits)
         out = lambda p: pa.RecordBatch.from_pylist([p], schema=schema)
         for b in batches:
             for owner, key, doc, size, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if owner != now:
                     yield from map(out, pages.flush())
-                    now, pages = owner, Pages(capacity, capacity_bytes)
+                    now, pages = owner, Pages(capacity, capacity_bytes, bits)
                 yield from map(out, pages.put(key % (1 << 64), doc, size, text))
         yield from map(out, pages.flush())
 
-    owned.select("owner", "key", "doc", "size", F.encode("norm", "UTF-8").alias("norm")).mapInArrow(own, PAGE_SCHEMA).write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    with common.batch_rows(spark, common.BATCH):
+        owned.select("owner", "key", "doc", "size", F.encode("norm", "UTF-8").alias("norm")).mapInArrow(own, PAGE_SCHEMA).write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 

@@ -292,7 +292,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
         if doc_ids:
             yield flush()
 
-    return common.checkpoint(ordered.mapInArrow(run, MANIFEST))
+    with common.batch_rows(spark, common.BATCH):
+        return common.checkpoint(ordered.mapInArrow(run, MANIFEST))
 
 
 def with_starts(manifest: DataFrame, group: int = 1024) -> DataFrame:

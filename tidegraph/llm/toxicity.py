@@ -30,7 +30,7 @@ WORD = re.compile(r"\w+")
 BUCKETS = 1 << 17
 DIM = 8
 SAMPLE = 2500
-KEPT = 400_000
+KEPT = 200_000
 
 
 def grams(word: str, buckets: int = BUCKETS) -> list[int]:
