@@ -28,6 +28,8 @@ from .token_counts import PLAIN, plain_pieces
 
 #: Words whose tokens a task keeps in each of two generations.
 KEPT = 300_000
+#: Words that share one replay.
+TOGETHER = 16_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -136,7 +138,9 @@ class MergeReplay:
                 words[w] = old[w]
             else:
                 new.append(w)
-        words.update(zip(new, self.encode_words(new), strict=True))
+        for at in range(0, len(new), TOGETHER):  # the corpus of one replay, bounded for memory
+            part = new[at : at + TOGETHER]
+            words.update(zip(part, self.encode_words(part), strict=True))
         return [[words[w] for w in ws] for ws in found]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -161,7 +165,7 @@ def replay_batches(docs: DataFrame, ranks_path: str, pattern: str, columns: str,
 
         return f
 
-    return common.map_rows(docs, make, columns)
+    return common.map_rows(docs, make, columns, rows=500)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ WORD = re.compile(r"\S+")
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 #: Rows of texts that Spark sends a Python worker at once.
-BATCH, BATCH_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -42,10 +43,19 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
                 out = f(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
+        del f
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Give freed memory back to the system, as workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder of our own below the shared one."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -128,6 +128,8 @@ def combined(norm: DataFrame, held_bytes: int = 32 << 20) -> DataFrame:
                     e[2] += 1
         if held:
             yield out()
+        held.clear()
+        common.trim()
 
     return norm.select("key", "norm", "doc_id").mapInArrow(run, "key long, norm string, doc long, size long")
 

@@ -218,6 +218,8 @@ def linked_blocks(members: DataFrame, docs: DataFrame, threshold: float, toleran
                 held.append((rep, block, mult, shingles))
         if held and (x := out()) is not None:
             yield x
+        held.clear()
+        common.trim()
 
     return s.mapInArrow(run, "node long, root long, links long")
 
