@@ -37,8 +37,15 @@ def impact_rows(graph: Graph, changes: DataFrame, change_sets: DataFrame | None
     narrow, full = gates.where("NOT full_run").select(*SET), gates.where("full_run").select(*SET)
     tests = test_nodes(graph.nodes)
     changed = classed.where("cls = 'node'").select(*SET, "node_id").distinct().join(narrow, SET, "left_semi")
-    affected = reverse_closure(graph.edges, changed, ["project"], ["change_set_id"])
-    maybe = (uncertain if uncertain is not None else uncertain_closure(graph)).join(tests, ["project", "node_id"], "left_semi")
+    changed = work.checkpoint(changed)
+    if uncertain is None:  # both closures in one loop, told apart by a flag
+        seeds = changed.withColumn("dynamic", F.lit(False))
+        dynamic = graph.nodes.where("has_dynamic").select("project", F.lit("").alias("change_set_id"), "node_id", F.lit(True).alias("dynamic"))
+        both = reverse_closure(graph.edges, seeds.unionByName(dynamic), ["project"], ["change_set_id", "dynamic"])
+        affected, uncertain = both.where("NOT dynamic").select(*SET, "node_id"), both.where("dynamic").select("project", "node_id")
+    else:
+        affected = reverse_closure(graph.edges, changed, ["project"], ["change_set_id"])
+    maybe = uncertain.join(tests, ["project", "node_id"], "left_semi")
     maybe = narrow.join(maybe, "project").select(*SET, "node_id")
     affected = affected.join(tests, ["project", "node_id"], "left_semi").select(*SET, "node_id")
     only = work.checkpoint(maybe.join(affected, [*SET, "node_id"], "left_anti"))
