@@ -93,7 +93,8 @@ def test_unseen_misspellings():
     texts = [" ".join(word() for _ in range(30)) for _ in range(300)]
     labels = np.array([i % 2 for i in range(300)])
     texts = [t + (" scoundrel" if y else "") for t, y in zip(texts, labels, strict=True)]
-    f = toxicity.train(texts, labels).scorer()
+    scores = toxicity.train(texts, labels).scorer()
+    f = lambda t: scores([t])[0]
     plain = " ".join(word() for _ in range(30))
     assert f(plain + " scoundrell") > f(plain) + 0.2 and f(plain + " scoundre1") > f(plain) + 0.2
 
@@ -106,7 +107,7 @@ def test_scores_of_odd_rows(spark):
     kept = toxicity.keep_clean(awkward(spark), m)
     assert kept.columns == awkward(spark).columns
     no = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r.score for r in toxicity.score(awkward(spark), toxicity.fit(awkward(spark), no)).collect()} == {1 / (1 + np.exp(40.0))}
+    assert all(r.score < 1e-15 for r in toxicity.score(awkward(spark), toxicity.fit(awkward(spark), no)).collect())
     one = spark.createDataFrame([(1, 1), (2, 1), (None, 0), (9, None)], "doc_id long, toxic int")
     assert all(r.predicted == 1 for r in toxicity.score(awkward(spark), toxicity.fit(awkward(spark), one)).collect())
 

@@ -20,7 +20,7 @@ def test_stages():
 def test_run(spark):
     docs = documents()
     score = toxicity.fit(common.read(spark, SF, "documents"), common.read(spark, SF, "labels")).scorer()
-    docs = [(d, t) for d, t in docs if score(t or "") < 0.5]
+    docs = [(d, t) for d, t in docs if score([t or ""])[0] < 0.5]
     first = {}
     for d, t in sorted(docs):
         first.setdefault(re.sub("[\x20\x09-\x0d]+", " ", t or ""), d)

@@ -15,6 +15,7 @@ is scored, held out false; only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -50,19 +51,26 @@ class Model:
     bias: float
 
     def scorer(self):
+        """A function of a list of texts. It keeps words' parts of the log-odds in two generations: a full one becomes the old one."""
         known: dict[str, float] = {}
-        weight, bias = self.weight, self.bias
+        old: dict[str, float] = {}
+        weight, bias = self.weight.tolist(), self.bias
 
-        def score(text: str) -> float:
-            ws = WORD.findall(text.lower())
+        def scores(texts: list[str]) -> list[float]:
+            nonlocal known, old
+            found = [WORD.findall(t.lower()) for t in texts]
             if len(known) > KEPT:
-                known.clear()
-            for w in set(ws).difference(known):
-                known[w] = float(weight[grams(w, len(weight))].mean())
-            x = bias + (sum([known[w] for w in ws]) / len(ws) ** 0.5 if ws else 0.0)
-            return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
+                known, old = {}, known
+            for w in set().union(*found).difference(known):
+                part = old.get(w)
+                if part is None:
+                    g = grams(w, len(weight))
+                    part = sum([weight[i] for i in g]) / len(g)
+                known[w] = part
+            odds = [bias + (sum(map(known.__getitem__, ws)) / len(ws) ** 0.5 if ws else 0.0) for ws in found]
+            return [1.0 / (1.0 + math.exp(-min(max(x, -500.0), 500.0))) for x in odds]
 
-        return score
+        return scores
 
 
 def bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -162,7 +170,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         f = shared.value.scorer()
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            s = np.array([f(t) for t in common.texts(b.column(2))])
+            s = np.array(f(common.texts(b.column(2))))
             return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
         return run
@@ -178,7 +186,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def make():
         f = shared.value.scorer()
-        return lambda b: b.filter(pa.array([f(t) < 0.5 for t in common.texts(b.column(at))], pa.bool_()))
+        return lambda b: b.filter(pa.array([x < 0.5 for x in f(common.texts(b.column(at)))], pa.bool_()))
 
     return common.map_rows(docs, make, docs.schema)
 
