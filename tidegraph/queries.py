@@ -71,9 +71,11 @@ def fk_graph(spark: SparkSession, sf: str) -> Graph:
     return Graph("go", nodes, files, fk_edges(spark, sf))
 
 
-def adj_edges(spark: SparkSession, sf: str, least: int) -> DataFrame:
+def adj_edges(spark: SparkSession, sf: str, least: int | None = None) -> DataFrame:
+    """ADJ, or with ``least`` the graph of the lines of at least that quantity only: its neighbours need not be neighbours in ADJ."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    li = read(spark, sf, "lineitem").where(F.col("l_quantity") >= least).select("l_orderkey", "l_linenumber", "l_partkey")
+    li = read(spark, sf, "lineitem")
+    li = (li if least is None else li.where(F.col("l_quantity") >= least)).select("l_orderkey", "l_linenumber", "l_partkey")
     return li.select(project(), F.col("l_partkey").cast("string").alias("src"), F.lead("l_partkey").over(w).cast("string").alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
 
 
@@ -90,6 +92,11 @@ adj AS (
   SELECT DISTINCT src, dst FROM (SELECT CAST(l_partkey AS VARCHAR) AS src, CAST(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS VARCHAR) AS dst FROM lineitem WHERE l_quantity >= 45)
   WHERE dst IS NOT NULL AND src <> dst
 )"""
+ADJ_ALL_SQL = """
+adj AS (
+  SELECT DISTINCT src, dst FROM (SELECT CAST(l_partkey AS VARCHAR) AS src, CAST(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS VARCHAR) AS dst FROM lineitem)
+  WHERE dst IS NOT NULL AND src <> dst
+)"""
 QUERIES = {}
 SQL = {}
 
@@ -192,6 +199,12 @@ def importers_index(spark, sf):
     return graph.importers(adj_edges(spark, sf, 45)).select("dst", "n_importers", F.array_join("importers", ",").alias("importers"))
 
 
+@query(f"WITH {ADJ_ALL_SQL} SELECT dst, CAST(count(*) AS BIGINT) AS n_importers, string_agg(src, ',' ORDER BY src) AS importers FROM adj GROUP BY dst")
+def importers_index_all(spark, sf):
+    """As ``importers_index``, over all of ADJ."""
+    return graph.importers(adj_edges(spark, sf)).select("dst", "n_importers", F.array_join("importers", ",").alias("importers"))
+
+
 @query("SELECT CAST(l_partkey AS VARCHAR) AS node_id, bool_or(l_returnflag = 'R') AS has_tests, bool_or(l_quantity >= 50) AS has_dynamic FROM lineitem GROUP BY l_partkey")
 def node_upsert(spark, sf):
     li = read(spark, sf, "lineitem").select(project(), F.col("l_partkey").cast("string").alias("node_id"), (F.col("l_returnflag") == "R").alias("has_tests"), (F.col("l_quantity") >= 50).alias("has_dynamic"))
@@ -311,6 +324,16 @@ def external_edge_filter(spark, sf):
     return graph.clean_edges(adj_edges(spark, sf, 45), nodes).select("src", "dst")
 
 
+@query(
+    f"""WITH {ADJ_ALL_SQL}, n AS (SELECT CAST(p_partkey AS VARCHAR) AS node_id FROM part WHERE p_size <= 25)
+SELECT src, dst FROM adj WHERE src IN (SELECT node_id FROM n) AND dst IN (SELECT node_id FROM n)"""
+)
+def external_edge_filter_all(spark, sf):
+    """As ``external_edge_filter``, over all of ADJ."""
+    nodes = read(spark, sf, "part").where("p_size <= 25").select(project(), F.col("p_partkey").cast("string").alias("node_id"))
+    return graph.clean_edges(adj_edges(spark, sf), nodes).select("src", "dst")
+
+
 @query(
     f"""WITH {PAGES_SQL}, w AS (SELECT DISTINCT dir, 'crate' || length(dir) AS owner FROM f WHERE dir <> '.' UNION SELECT DISTINCT regexp_extract(path, '^([^/]*)', 1), 'host' FROM f WHERE contains(path, '/'))
 SELECT p.path, arg_max(w.owner, (length(w.dir), w.owner)) AS owner FROM (SELECT DISTINCT path FROM f) p JOIN w ON p.path = w.dir OR starts_with(p.path, w.dir || '/') GROUP BY p.path"""
