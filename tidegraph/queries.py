@@ -125,6 +125,18 @@ def impact_adj_closure(spark, sf):
     return reverse_closure(e, e.where("cast(src AS long) % 100 = 0").select(F.col("src").alias("node_id"))).select("node_id")
 
 
+@query(
+    f"""WITH RECURSIVE {ADJ_ALL_SQL}, c AS (SELECT CAST(l_partkey AS VARCHAR) AS node_id FROM lineitem WHERE l_shipdate = (SELECT max(l_shipdate) FROM lineitem) UNION SELECT src FROM adj JOIN c ON dst = node_id)
+SELECT node_id FROM c"""
+)
+def impact_adj_closure_all(spark, sf):
+    """As ``impact_adj_closure``, over all of ADJ; the change set is the parts on the lines shipped last."""
+    li = read(spark, sf, "lineitem")
+    last = li.agg(F.max("l_shipdate").alias("l_shipdate"))
+    seeds = li.join(F.broadcast(last), "l_shipdate").select(F.col("l_partkey").cast("string").alias("node_id"))
+    return reverse_closure(adj_edges(spark, sf), seeds).select("node_id")
+
+
 def region_changes(spark, sf) -> DataFrame:
     """A change set for each region, named after it, of the region's own file."""
     r = key("region", "r_regionkey")
