@@ -46,6 +46,14 @@ def test_layouts(record, turns):
     assert chat_format.Selector().turns(record) == turns
 
 
+@pytest.mark.parametrize(("items", "role", "text"), [("messages", "role", "content"), ("conversation", "role", "content"), ("conversations", "from", "value")])
+def test_system_text_beside_a_list_of_turns(items, role, text):
+    turns = [{role: "user", text: "q"}, {role: "assistant", text: "a"}]
+    s = chat_format.Selector()
+    assert s.turns({"system": "be brief", items: turns}) == [("system", "be brief"), ("user", "q"), ("assistant", "a")]
+    assert s.turns({"system": None, items: turns}) == s.turns({items: turns}) == [("user", "q"), ("assistant", "a")]
+
+
 def test_fingerprints():
     f = chat_format.fingerprint
     assert f({"a": "x", "b": [1]}) == f({"b": [2, 3], "a": "y"}) != f({"a": "x", "b": ["1"]})

@@ -57,14 +57,15 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 class Mapping:
     """Where a layout has its turns.
 
-    ``items`` is the path of a list of turns, whose role and text are at ``role`` and ``text``. Without it, ``fields`` are
-    (role, path) in order; several paths joined by ``+`` make one turn, with a blank line between those that are not empty.
+    ``items`` is the path of a list of turns, whose role and text are at ``role`` and ``text``; ``lead`` are (role, path) of optional
+    fields beside the list, whose texts come before its turns. Without ``items``, ``fields`` are (role, path) in order; several paths joined by ``+`` make one turn, with a blank line between those that are not empty.
     """
 
     name: str
     items: str | None = None
     role: str = "role"
     text: str = "content"
+    lead: tuple[tuple[str, str], ...] = ()
     fields: tuple[tuple[str, str], ...] = ()
     optional: frozenset[str] = field(default_factory=frozenset)
 
@@ -76,7 +77,8 @@ class Mapping:
     def turns(self, record) -> list[tuple[str, str]]:
         if self.items is not None:
             items = reach(record, self.items)
-            return [(role_name(reach(x, "." + self.role)), text_of(reach(x, "." + self.text))) for x in items or []]
+            lead = [(role, text_of(v)) for role, p in self.lead if (v := reach(record, f".{p}")) is not None]
+            return lead + [(role_name(reach(x, "." + self.role)), text_of(reach(x, "." + self.text))) for x in items or []]
         out = []
         for role, ps in self.fields:
             values = [reach(record, f".{p}") for p in ps.split("+")]
@@ -105,11 +107,12 @@ def text_of(value) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+SYSTEM = (("system", "system"),)
 #: In order of preference: of several mappings whose paths a record has, the first with the most paths.
 MAPPINGS = (
-    Mapping("messages", items=".messages"),
-    Mapping("conversation list", items=".conversation"),
-    Mapping("from/value", items=".conversations", role="from", text="value"),
+    Mapping("messages", items=".messages", lead=SYSTEM),
+    Mapping("conversation list", items=".conversation", lead=SYSTEM),
+    Mapping("from/value", items=".conversations", role="from", text="value", lead=SYSTEM),
     Mapping("bare list", items=""),
     Mapping("one turn", fields=(("@.role", "text"),)),
     Mapping("one message", fields=(("@.role", "content"),)),
