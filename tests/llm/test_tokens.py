@@ -61,6 +61,11 @@ def test_random_prefixes(counter, library, text):
     assert token_counts.counts(counter.steps(text)).tolist() == prefix_counts(library, text)
 
 
+@pytest.mark.parametrize("text", ["か\u3099き\u3099く" * 60, "は\u309aか\u3099、e\u0301x1" * 40, "\u1112\u1161\u11ab\u1100\u1173\u11af" * 50, "ab か\u3099" + "a\u0302\u0323n" * 80 + " e\u0301", "e\u0301x.'s\u0301" * 50 + "a's\u0301" * 5])
+def test_prefixes_of_long_decomposed_text_without_spaces(counter, library, text):
+    assert token_counts.counts(counter.steps(text)).tolist() == prefix_counts(library, text)
+
+
 def test_budget(counter):
     s = counter.steps("one two three four")
     assert "one two three four"[: token_counts.fits(s, 2)] == "one two "

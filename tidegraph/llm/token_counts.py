@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_left
 from functools import cache, lru_cache
 from itertools import accumulate
 
@@ -234,7 +235,7 @@ class PrefixCounter:
                 counts[s + 1 : t + 1] = [fb + c for c in got[s - fs :]]
             counts[t], at = after, t
         counts[at + 1 :] = len(e.ids)
-        return self.settled(text, counts)
+        return self.settled(text, counts, [x[0] for x in spans])
 
     def plain_word(self, word: str) -> np.ndarray | None:
         """The counts inside a long word whose characters neither compose nor change their number in lower case."""
@@ -244,20 +245,33 @@ class PrefixCounter:
         per = ["".join(self.letters[b] for b in c.encode()) for c in low]
         return np.array(self.word_steps("".join(per), np.cumsum([len(p) for p in per]).tolist()))
 
-    def settled(self, text: str, counts: np.ndarray) -> np.ndarray:
-        """Put right the prefixes that end where the next character still composes with the last one."""
+    def settled(self, text: str, counts: np.ndarray, starts: list[int]) -> np.ndarray:
+        """Put right the prefixes that end where the next character still composes with the last one.
+
+        They are encoded anew from the last white space or, where that is far, from the last of the words' ``starts`` that nothing composes across.
+        """
         if not unicodedata.is_normalized("NFC", text):
             for i in range(1, len(text)):
-                if unicodedata.combining(text[i]) or "ᅠ" <= text[i] <= "ᇿ":
+                if composes(text[i]):
                     s = i
                     while s and not text[s - 1].isspace() and i - s < 200:
                         s -= 1
+                    if s and not text[s - 1].isspace():
+                        k = bisect_left(starts, i) - 1
+                        while k > 0 and (composes(text[starts[k]]) or text[starts[k] - 1] == "'"):  # 's may be a word of the prefix alone
+                            k -= 1
+                        s = starts[k] if k > 0 else 0
                     n = len(self.lib.encode(text[s:i], add_special_tokens=False).ids)
                     counts[i] = counts[s] + n
         steps = np.diff(counts)
         return steps.astype(np.int8) if not len(steps) or abs(steps).max() < 128 else steps.astype("<i4")
 
 
+def composes(c: str) -> bool:
+    """Whether ``c`` may compose with what stands before it."""
+    return bool(unicodedata.combining(c)) or "ᅠ" <= c <= "ᇿ"
+
+
 @cache
 def kept_counter(path: str) -> PrefixCounter:
     """One counter a worker process: its words and prefixes serve the tasks that follow."""
