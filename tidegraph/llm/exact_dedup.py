@@ -1,7 +1,7 @@
 """Exact dedup with an extendible-hash index on shared files.
 
-A text's key is a 64-bit hash of its normalised bytes. The directory maps the key's leading bits to a bucket;
-a bucket over its capacity splits, and where its depth has reached the directory's, the directory doubles.
+A text's key is a 64-bit hash of its normalised bytes. A bucket has the keys of some leading bits and splits over its capacity.
+The directory from leading bits to buckets is only derived from the finished pages; look-ups meet the entries by key.
 Owner tasks hold ranges of keys. Each reads its rows in key order, so that it fills one bucket at a time:
 of a split the lower half is complete and goes to the file, the upper half goes on growing. Rows of one key are
 chained and their bytes compared, so equal keys of different texts stay apart. The buckets are
