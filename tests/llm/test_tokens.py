@@ -1,6 +1,7 @@
 """Token files, token counts and byte BPE, against the libraries."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -55,8 +56,12 @@ def test_random_totals(counter, library, text):
     assert int(counter.steps(text).sum(dtype=np.int64)) == len(library.encode(text, add_special_tokens=False).ids)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(st.sampled_from("ab the'sllvre Éé.,!-_0129\n"), max_size=60))
+#: Letters that compose, that become several in lower case, marks, Hangul, other scripts' digits and white space, special strings and parts of them.
+FULL = [*"ab the'sllvrd ÉéßıİΣς日本がはき゚́̂̈\U0001f600.,!-_0129½²٣\n\t\u00a0\u3000\x1c\x85>≯̸ÅΩ각", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "'re", "'ll", "ᄀ", "ᅡ", "ᆨ", "\u09c7", "\u09be", "\u0f71", "क़"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(FULL), max_size=40).map("".join))
 def test_random_prefixes(counter, library, text):
     assert token_counts.counts(counter.steps(text)).tolist() == prefix_counts(library, text)
 
@@ -77,12 +82,23 @@ def test_long_word(counter, library):
     assert token_counts.counts(counter.steps(w))[[300, 555, 800]].tolist() == [len(library.encode(w[:i]).ids) for i in (300, 555, 800)]
 
 
+@pytest.mark.parametrize("text", [" ".join(f"“word{i}” it’s" for i in range(10_000)), "日本語漢字" * 4000, " ".join(f"tie\u0302\u0301ng{i}" for i in range(10_000)), "か\u3099き" * 4000])
+def test_long_texts_take_linear_time(counter, library, text):
+    began = time.process_time()
+    steps = counter.steps(text)
+    assert time.process_time() - began < 8  # quadratic time would be minutes
+    got = token_counts.counts(steps)
+    assert got[-1] == len(library.encode(text, add_special_tokens=False).ids)
+    for i in (5001, 9999):
+        assert got[i] == len(library.encode(text[:i], add_special_tokens=False).ids)
+
+
 def test_counts_table(spark, library):
     want = [(d, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 100) for d, t in AWKWARD]
-    got = token_counts.prefix_counts(awkward(spark), WORDS, limit=100)
-    same([r[:4] for r in got.collect()], want)
-    assert all(np.frombuffer(r.steps, {1: np.int8, 4: "<i4"}[r.step_bytes]).sum(dtype=np.int64) == r.n_tokens for r in got.collect())
-    assert token_counts.prefix_counts(spark.createDataFrame([], SCHEMA), WORDS).collect() == []
+    table = token_counts.prefix_table(awkward(spark), WORDS)
+    same(token_counts.totals(table, limit=100).collect(), want)
+    assert all(len(r.steps) % r.step_bytes == 0 for r in table.collect())
+    assert token_counts.totals(token_counts.prefix_table(spark.createDataFrame([], SCHEMA), WORDS)).collect() == []
 
 
 def test_counts_query(spark, library):
