@@ -135,6 +135,8 @@ class Selector:
         have = paths(record)
         key = hashlib.sha1("\n".join(sorted(have)).encode()).hexdigest()
         if key not in self.known:
+            if len(self.known) > 10_000:  # records with keys of their own
+                self.known.clear()
             bare = {p.rpartition(":")[0] for p in have}
             fit = [m for m in self.mappings if m.needs() <= bare]
             self.known[key] = max(fit, key=lambda m: len(m.needs()), default=None)

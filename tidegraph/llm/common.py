@@ -1,19 +1,20 @@
-"""Helpers that several operators share: the work folder, Arrow mapping, words and shingles, components."""
+"""Helpers that several operators share: tables in the shared folder, places of rows, Arrow mapping, words and shingles, components."""
 
 from __future__ import annotations
 
 import ctypes
 import re
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..work import checkpoint, work_dir
+from .. import work
+from ..work import drop, work_path
 
 #: Words of near-duplicate operators: maximal runs of characters that are not white space, in lower case.
 WORD = re.compile(r"\S+")
@@ -23,18 +24,8 @@ THRESHOLD = 0.8
 BATCH, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema, rows: int = 1000) -> DataFrame:
-    """``mapInArrow`` in slices of at most ``rows`` rows. ``make`` runs once a task and returns the function of a batch.
-
-    Where the session leaves Arrow's batches at Spark's default, which for texts is tens of megabytes on both sides, they are set to BATCH rows.
-    """
-    if df.sparkSession.conf.get(BATCH_KEY, None) is None:
-        df.sparkSession.conf.set(BATCH_KEY, str(BATCH))
+    """``mapInArrow`` in slices of at most ``rows`` rows. ``make`` runs once a task and returns the function of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -56,32 +47,66 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a folder of our own below the shared one."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int):
-    """Within it, jobs send Python at most ``rows`` rows at once (for rows of many kilobytes)."""
+def batch_rows(spark: SparkSession, rows: int = BATCH):
+    """Within it, jobs send Python at most ``rows`` rows at once (Spark's default is tens of megabytes of text); then the session is as it was."""
     before = spark.conf.get(BATCH_KEY, None)
-    spark.conf.set(BATCH_KEY, str(rows))
+    spark.conf.set(BATCH_KEY, str(min(rows, int(before)) if before and int(before) > 0 else rows))
     try:
         yield
     finally:
         spark.conf.set(BATCH_KEY, before) if before is not None else spark.conf.unset(BATCH_KEY)
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A copy in the shared folder instead of the lineage."""
+    with batch_rows(df.sparkSession):
+        return work.checkpoint(df)
+
+
+def stored(df: DataFrame, name: str, rows: int = BATCH) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back."""
+    return reread(df, write(df, name, rows))
+
+
+def write(df: DataFrame, name: str, rows: int = BATCH) -> str:
+    """The path of ``df`` as a Parquet table in the shared folder."""
+    path = work_path(df.sparkSession, name)
+    with batch_rows(df.sparkSession, rows):
+        df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
+def reread(df: DataFrame, path: str) -> DataFrame:
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+FILE, ROW = "tg__file", "tg__row"
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the place of each row, FILE (64 bits of its path's hash) and ROW, which stays the same whenever it is read.
+
+    Rows of a plain scan of Parquet files have one; other DataFrames are copied to the shared folder first.
+    """
+    try:
+        d = docs.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+        d.schema  # noqa: B018
+        return d
+    except AnalysisException:
+        d = stored(docs, "rows")
+        return d.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+
+
 def small(df: DataFrame, limit: int) -> DataFrame:
     """``df`` to be broadcast if it is counted to have at most ``limit`` rows, else as it is. Give it what a checkpoint holds."""
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def without(docs: DataFrame, doc_ids: DataFrame, limit: int = 500_000) -> DataFrame:
-    """``docs`` without the rows whose doc_id is among ``doc_ids``; up to ``limit`` of them (8 bytes each) are broadcast, more are joined by a shuffle."""
-    ids = checkpoint(doc_ids.select("doc_id").where("doc_id IS NOT NULL").distinct())
-    return docs.join(small(ids, limit), "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, places: DataFrame, limit: int = 500_000) -> DataFrame:
+    """The ``placed`` rows ``docs`` without those at ``places(FILE, ROW)``; up to ``limit`` of these (16 bytes each) are broadcast, more are joined by a shuffle."""
+    gone = checkpoint(places.select(FILE, ROW))
+    return docs.join(small(gone, limit), [FILE, ROW], "left_anti").drop(FILE, ROW)
 
 
 def texts(column: pa.Array) -> list[str]:

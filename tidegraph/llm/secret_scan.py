@@ -374,7 +374,8 @@ def contract_columns(spans: list[list[tuple[str, int, int]]]) -> list[pa.Array]:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(common.read(spark, sf_dir, "documents"), digest=contract_columns, schema="doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    found = scan(common.read(spark, sf_dir, "documents"), digest=contract_columns, schema="doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return common.stored(found, "secrets")
 
 
 def sql(rules: tuple[Rule, ...] = RULES) -> str:
