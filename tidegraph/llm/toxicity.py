@@ -1,16 +1,16 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its letter n-grams (3 to 5, with word bounds) and itself, hashed into buckets with an embedding each; a word's vector is
-their mean, a text's vector the sum of its words' vectors over the square root of their number (a mean whose signal fades less in long texts),
-and a softmax layer maps it to the two classes. Embeddings and layer learn together (Adagrad, mini-batches), so a misspelling
-never seen in training gets its vector from the n-grams that it shares.
+their mean, a text's vector the mean of its words', and a softmax layer maps it to the two classes. Embeddings and layer learn together (Adagrad,
+mini-batches), so a misspelling never seen in training gets its vector from the n-grams that it shares.
 
-Labels are learnt from at most ``sample`` labelled rows a class, those with the smallest hash of doc_id; a row is held out
-where crc32(doc_id as text) mod 5 is 0. Scoring covers all rows and whole texts.
+Labels are learnt from at most ``sample`` labelled rows a class and ``sample_bytes`` of text, those with the smallest hash of doc_id; a row is held out
+where crc32(doc_id as text) mod 5 is 0. As that sample may hold another share of toxic rows than the labels do, its log-odds are moved by the
+difference (the usual correction of an intercept). Scoring covers all rows and whole texts.
 
 Defined results: null and empty texts get the score of no words; rows whose label or doc_id is null are not learnt from; with labels of one class or
-none, every score is that class's share (0 without labels); repeated labels of a doc_id are learnt once each; a null doc_id
-is scored, held out false; only doc_id and text are read.
+none, every score is that class's share (0 without labels); repeated labels of a doc_id are learnt once each; of repeated documents of a labelled doc_id one is learnt; a null doc_id
+is scored, held out false; long texts are scored whole (and learnt whole or not at all); an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from . import common
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 17
 DIM = 8
-SAMPLE = 2500
+SAMPLE, SAMPLE_BYTES = 2500, 64 << 20
 KEPT = 200_000
 
 
@@ -45,16 +45,19 @@ def grams(word: str, buckets: int = BUCKETS) -> list[int]:
 
 @dataclass
 class Model:
-    """What scoring needs: the embeddings' product with the layer is a number a bucket."""
+    emb: np.ndarray  # a row a bucket
+    layer: np.ndarray  # a row a dimension, a column a class
+    bias: np.ndarray
 
-    weight: np.ndarray  # a bucket's part of the log-odds
-    bias: float
+    def parts(self) -> np.ndarray:
+        """A bucket's part of the log-odds: as all before the softmax is linear, one number a bucket is all that scoring needs."""
+        return self.emb @ (self.layer[:, 1] - self.layer[:, 0])
 
     def scorer(self):
         """A function of a list of texts. It keeps words' parts of the log-odds in two generations: a full one becomes the old one."""
         known: dict[str, float] = {}
         old: dict[str, float] = {}
-        weight, bias = self.weight.tolist(), self.bias
+        weight, bias = self.parts().astype(np.float64).tolist(), float(self.bias[1] - self.bias[0])
 
         def scores(texts: list[str]) -> list[float]:
             nonlocal known, old
@@ -67,7 +70,7 @@ class Model:
                     g = grams(w, len(weight))
                     part = sum([weight[i] for i in g]) / len(g)
                 known[w] = part
-            odds = [bias + (sum(map(known.__getitem__, ws)) / len(ws) ** 0.5 if ws else 0.0) for ws in found]
+            odds = [bias + (sum(map(known.__getitem__, ws)) / len(ws) if ws else 0.0) for ws in found]
             return [1.0 / (1.0 + math.exp(-min(max(x, -500.0), 500.0))) for x in odds]
 
         return scores
@@ -90,27 +93,23 @@ def bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
                 known[w] = np.array(grams(w, buckets), np.int32)
         gs = [known[w] for w in count]
         sizes = np.array([len(g) for g in gs])
-        each = np.repeat(np.array(list(count.values())) / sizes / len(ws) ** 0.5, sizes)
+        each = np.repeat(np.array(list(count.values())) / sizes / len(ws), sizes)
         b, inverse = np.unique(np.concatenate(gs), return_inverse=True)
         out.append((b.astype(np.int32), np.bincount(inverse, each).astype(np.float32)))
     return out
 
 
-def train(texts: list[str], labels: np.ndarray, *, buckets: int = BUCKETS, dim: int = DIM, epochs: int = 8, rate: float = 0.3, seed: int = 7, batch: int = 32, caution: float = 1.0) -> Model:
-    """Fit on texts in the given order; the same input gives the same model.
-
-    Classes weigh alike in training; ``caution`` is then taken from the log-odds, as clean texts are the more frequent by far.
-    """
-    share = float(labels.mean()) if len(labels) else 0.0
-    if share in (0.0, 1.0):
-        return Model(np.zeros(buckets, np.float32), 40.0 if share else -40.0)
+def train(texts: list[str], labels: np.ndarray, *, buckets: int = BUCKETS, dim: int = DIM, epochs: int = 8, rate: float = 3.0, seed: int = 7, batch: int = 32, share: float | None = None) -> Model:
+    """Fit on texts in the given order; the same input gives the same model. ``share`` of toxic rows, if it is not that of ``labels``, moves the log-odds."""
+    own = float(labels.mean()) if len(labels) else 0.0
+    if own in (0.0, 1.0):
+        return Model(np.zeros((buckets, dim), np.float32), np.zeros((dim, 2), np.float32), np.array([0.0, 40.0 if own else -40.0], np.float32))
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
     layer = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     g_emb, g_layer, g_bias = np.full((buckets, dim), 1e-6, np.float32), np.full_like(layer, 1e-6), np.full_like(bias, 1e-6)
     rows = bags(texts, buckets)
-    balance = np.array([0.5 / (1 - share), 0.5 / share], np.float32)
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
         lr = rate * (1 - epoch / epochs)
@@ -131,7 +130,7 @@ def train(texts: list[str], labels: np.ndarray, *, buckets: int = BUCKETS, dim:
             y = labels[pick].astype(int)
             err = p
             err[np.arange(len(pick)), y] -= 1
-            err *= balance[y][:, None] / len(pick)
+            err /= len(pick)
             d_layer, d_bias, d_vec = vec.T @ err, err.sum(0), err @ layer.T
             uniq, inv = np.unique(idx, return_inverse=True)
             flat = d_vec[doc] * val[:, None]
@@ -142,29 +141,37 @@ def train(texts: list[str], labels: np.ndarray, *, buckets: int = BUCKETS, dim:
             layer -= lr * d_layer / np.sqrt(g_layer)
             g_bias += d_bias**2
             bias -= lr * d_bias / np.sqrt(g_bias)
-    odds = layer[:, 1] - layer[:, 0]
-    return Model((emb @ odds).astype(np.float32), float(bias[1] - bias[0]) - caution)
+    if share is not None and 0 < share < 1:
+        bias[1] += math.log(share / (1 - share)) - math.log(own / (1 - own))
+    return Model(emb, layer, bias)
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> Model:
-    """Learn from rows that are not held out: at most ``sample`` of each class, which bounds what the driver gets."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, **options) -> Model:
+    """Learn from rows that are not held out: at most ``sample`` of each class, together at most ``sample_bytes`` of text, which bounds what the driver gets."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     y = y.where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
+    share = y.agg(F.avg("toxic")).first()[0]
     picked = y.where("toxic = 0").orderBy("h", "doc_id").limit(sample).unionByName(y.where("toxic = 1").orderBy("h", "doc_id").limit(sample))
     ids = picked.select("doc_id", "toxic").collect()
-    few = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in ids], "doc_id long, toxic int")
+    spark = docs.sparkSession
+    few = spark.createDataFrame([(r[0], r[1]) for r in ids], "doc_id long, toxic int")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    got = sorted((r[0], r[1], r[2]) for r in d.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text").collect())  # at most 2 * sample rows
-    return train([r[2] for r in got], np.array([r[1] for r in got]), **options)
+    d = d.join(F.broadcast(few.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.octet_length("text"), F.xxhash64("text"))).alias("text"))
+    found = common.checkpoint(d)  # at most 2 * sample rows
+    sizes = sorted(found.select(F.xxhash64("doc_id"), F.octet_length("text"), "doc_id").collect())
+    total = np.cumsum([r[1] for r in sizes])
+    held = spark.createDataFrame([(r[2],) for r, n in zip(sizes, total, strict=True) if n <= sample_bytes], "doc_id long")
+    got = sorted((r[0], r[1], r[2]) for r in found.join(F.broadcast(held), "doc_id").join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text").collect())
+    return train([r[2] for r in got], np.array([r[1] for r in got]), share=share, **options)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs(doc_id, text)``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB
 
     def make():
         f = shared.value.scorer()
@@ -193,4 +200,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
-    return score(docs, fit(docs, common.read(spark, sf_dir, "labels")))
+    return common.stored(score(docs, fit(docs, common.read(spark, sf_dir, "labels"))), "toxicity")
