@@ -120,6 +120,32 @@ def test_scores_of_odd_rows(spark):
     assert all(r.predicted == 1 for r in toxicity.score(awkward(spark), toxicity.fit(awkward(spark), one)).collect())
 
 
+def test_scores_by_brute_force(spark):
+    """The score is the softmax of the mean over words of the mean over their n-grams' embeddings."""
+    rows = [(i, t) for i, t in documents() if t][:120]
+    y = np.array([len(t) % 2 for _, t in rows])
+    m = toxicity.train([t for _, t in rows], y, epochs=2, buckets=1 << 12, share=0.2)
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, SCHEMA), m).collect()}
+    for i, t in rows:
+        ws = re.findall(r"\w+", t.lower())
+        vec = np.mean([m.emb[toxicity.grams(w, 1 << 12)].astype(float).mean(0) for w in ws], 0) if ws else np.zeros(toxicity.DIM)
+        z = vec @ m.layer.astype(float) + m.bias
+        assert got[i] == pytest.approx(np.exp(z[1] - z.max()) / np.exp(z - z.max()).sum(), abs=1e-4)
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = [(i, "word " * (1 + i)) for i in range(200)] + [(3, "repeated " * k) for k in range(1, 9)]
+    labels = [(i, i % 2) for i in range(200)]
+    seen = []
+    real = toxicity.train
+    try:
+        toxicity.train = lambda texts, labels, **o: seen.append(texts) or real(texts, labels, **o)
+        toxicity.fit(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"), sample=50, sample_bytes=20_000)
+    finally:
+        toxicity.train = real
+    assert 10 < len(seen[0]) <= 100 and sum(map(len, seen[0])) <= 20_000
+
+
 # -- leaks
 
 
@@ -139,15 +165,19 @@ def contained(docs, items):
 ITEMS = [(1, BASE), (2, "the lazy dog"), (3, None), (4, ""), (5, "nothing of this is there at all"), (6, "x"), (None, BASE), (6, "x"), (7, " ".join(BASE.split()[:9]) + " but not so"), (8, " ".join(BASE.split()[:20]) + " but")]
 
 
-@pytest.mark.parametrize("max_items", [1000, 0])
-def test_leaks(spark, max_items):
+@pytest.mark.parametrize("block_bytes", [64 << 20, 2000])
+def test_leaks(spark, block_bytes):
     items = spark.createDataFrame(ITEMS, "item_id long, text string").selectExpr("*", "1 AS doc_id", "2 AS hash")
     want = contained(AWKWARD, ITEMS)
     assert len(want) > 10
-    same(decontaminate.search(awkward(spark), items, max_items=max_items).collect(), want)
+    same(decontaminate.search(awkward(spark), items, block_bytes=block_bytes).collect(), want)
+    clean = decontaminate.keep_clean(awkward(spark), items, block_bytes=block_bytes)
+    hit = {d for d, *_ in contained([(i, t) for i, (_, t) in enumerate(AWKWARD)], ITEMS)}
+    assert clean.columns == awkward(spark).columns
+    same(clean.select("doc_id", "text").collect(), [r for i, r in enumerate(AWKWARD) if i not in hit])
     none = spark.createDataFrame([], "item_id long, text string")
-    assert decontaminate.search(awkward(spark), none, max_items=max_items).collect() == []
-    assert decontaminate.search(spark.createDataFrame([], SCHEMA), items, max_items=max_items).collect() == []
+    assert decontaminate.search(awkward(spark), none, block_bytes=block_bytes).collect() == []
+    assert decontaminate.search(spark.createDataFrame([], SCHEMA), items, block_bytes=block_bytes).collect() == []
 
 
 # -- secrets

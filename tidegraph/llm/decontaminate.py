@@ -1,25 +1,26 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 An item is found in a document when at least ``threshold`` of the item's distinct shingles of five words are among the document's.
-Items are parted by their number of shingles. A partition's items keep a bottom-k MinHash sketch, their k smallest shingle hashes,
-with k one more than the shingles that a contained item may lack (k = q - ceil(threshold * q) + 1): any document that contains the item has one of
-them, so the candidate search loses nothing, at whatever length the document has. A document is searched in one pass over its shingles' hashes:
-those that are in some sketch give its candidates, which must have a document of enough shingles for the partition, and
-hits on the sketch are followed by counting the item's hashes and then comparing the shingles themselves.
+Items are parted by their number of shingles, in powers of two. Each keeps a MinHash sketch, its smallest shingle hashes: as many as it may lack, and HITS more.
+A document's sketch for a partition is those of its hashes that are no larger than the largest in that partition's sketches, so a sparse one for large items and a dense one for small ones.
+How many of an item's sketch are in the document's estimates the containment, however much longer the document is. An item of q shingles of which ``need`` must be
+there can lack q - need; a containing document thus has at least HITS (or, of small items, ``need``) of its sketch, so the candidate search loses nothing. Candidates are
+counted on all hashes, then on the shingles themselves.
 
-(An ensemble of banded signatures over documents parted by size was not taken: a 20,000-word document has a Jaccard similarity of about 0.002 with a 40-word
-item, for which no number of bands that fits finds them reliably.)
+(Banded signatures were not taken: a 20,000-word document has a Jaccard similarity of about 0.002 with a 40-word
+item, for which no number of bands that fits finds them reliably. Containment of bottom sketches does not depend on the document's length.)
 
-Sketches are sent to every task while the items are at most ``max_items`` and ``max_bytes`` of text; beyond it, the hits are found by joining
-document shingles with sketches on the hash instead.
+The items' tables are sent to every task. Items that would need more than ``block_bytes`` there (about four times their text) are searched in several blocks, one after another, each against all documents.
 
 Defined results: items of fewer than five words are one shingle of all their words, and found as that many words in a row; empty and null items are never
-found; null texts contain nothing; repeated items and documents give a row each; rows of a null id are reported with it; only the ids and texts are read.
+found; null texts contain nothing; texts of any length are searched whole; repeated items and documents give a row each; rows of a null id are reported with it; an empty table gives no rows; only the ids and texts are read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,54 +29,64 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_ITEMS = 200_000
-MAX_BYTES = 64 << 20
+HITS = 4
+BLOCK_BYTES = 64 << 20
 
 
 def shingle_set(ws: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if ws else set()
 
 
+class Part:
+    """The sketches of one size partition: hashes in order and the item of each."""
+
+    def __init__(self, own: list[tuple[int, np.ndarray]], need: int) -> None:
+        hashes, owners = np.concatenate([h for _, h in own]), np.repeat([i for i, _ in own], [len(h) for _, h in own])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners, self.largest, self.need = hashes[order], owners[order], hashes.max(), need
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and how many of their sketch are in the sketch of a document with the sorted hashes ``h``."""
+        sketch = h[: np.searchsorted(h, self.largest, "right")]
+        lo = np.searchsorted(self.hashes, sketch)
+        at = np.flatnonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == sketch)
+        if not len(at):
+            return at, at
+        lo, each = lo[at], np.searchsorted(self.hashes, sketch[at], "right") - lo[at]
+        places = np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        return np.unique(self.owners[places], return_counts=True)
+
+
 class Sketches:
-    """The items' sketches, parted by size. ``items`` are (id, text)."""
+    """The items' tables. ``items`` are (id, text)."""
 
     def __init__(self, items: list[tuple], threshold: float = common.THRESHOLD, n: int = common.SHINGLE_WORDS) -> None:
-        self.threshold, self.n = threshold, n
         seen = common.Hashes()
-        self.items = []  # id, words a shingle, shingles, hashes
+        self.items: list[tuple] = []  # id, text, words a shingle, hashes, shingles needed, hits needed on the sketch
+        parts: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         for item, text in items:
             ws = common.words(text or "")
             if ws:
                 k = min(n, len(ws))
-                self.items.append((item, k, shingle_set(ws, k), common.shingle_hashes(ws, seen, k)))
-        #: for each shingle length: the sketches' hashes in order, and the items that each belongs to
-        self.sketch: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        #: size partitions: items by the number of shingles that a document must have, in powers of two
-        self.partition = [int(self.need(i)).bit_length() for i in range(len(self.items))]
-        for k in {x[1] for x in self.items}:
-            own = [(h, i) for i, x in enumerate(self.items) if x[1] == k for h in x[3][: len(x[3]) - self.need(i) + 1].tolist()]
-            hashes = np.array([h for h, _ in own], np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            self.sketch[k] = hashes[order], np.array([i for _, i in own])[order]
-
-    def need(self, i: int) -> int:
-        """The shingles that a document must share with item ``i``."""
-        return math.ceil(self.threshold * len(self.items[i][3]) - 1e-9)
+                h = common.shingle_hashes(ws, seen, k)
+                need = math.ceil(threshold * len(h) - 1e-9)
+                sketch = h[: len(h) - need + HITS]
+                parts.setdefault((k, len(h).bit_length()), []).append((len(self.items), sketch))
+                self.items.append((item, text, k, h, need, len(sketch) - (len(h) - need)))
+        self.parts = {key: Part(own, min(self.items[i][4] for i, _ in own)) for key, own in sorted(parts.items())}
+        self.lengths = sorted({k for k, _ in self.parts})
 
     def candidates(self, ws: list[str], seen: common.Hashes) -> dict[int, np.ndarray]:
-        """Items with a sketch hash in the document, and the document's hashes for their shingle length."""
+        """Items with enough sketch hashes in the document's, and the document's hashes for their shingle length."""
         found: dict[int, np.ndarray] = {}
-        for k, (hashes, owners) in self.sketch.items():
+        for k in self.lengths:
             if len(ws) < k:
                 continue
-            h = common.shingle_sequence(ws, seen, k)
-            at = np.searchsorted(hashes, h)
-            hit = h[hashes[np.minimum(at, len(hashes) - 1)] == h]
-            if len(hit):
-                hit = np.unique(hit)
-                for lo, hi in zip(np.searchsorted(hashes, hit), np.searchsorted(hashes, hit, "right"), strict=True):
-                    for i in owners[lo:hi].tolist():
-                        if len(h) >= 1 << (self.partition[i] - 1):
+            h = common.shingle_hashes(ws, seen, k)
+            for (length, _), part in self.parts.items():
+                if length == k and len(h) >= part.need:
+                    for i, n in zip(*(x.tolist() for x in part.hits(h)), strict=True):
+                        if n >= self.items[i][5]:
                             found[i] = h
         return found
 
@@ -84,96 +95,85 @@ class Sketches:
         ws = common.words(text)
         out, exact = [], {}
         for i, h in sorted(self.candidates(ws, seen).items()):
-            item, k, shingles, hashes = self.items[i]
-            if np.isin(hashes, h).sum() < self.need(i):
+            item, own, k, hashes, need, _ = self.items[i]
+            if (h[np.minimum(np.searchsorted(h, hashes), len(h) - 1)] == hashes).sum() < need:
                 continue
             if k not in exact:
                 exact[k] = shingle_set(ws, k)
+            shingles = shingle_set(common.words(own), k)
             shared = len(shingles & exact[k])
-            if shared >= self.need(i):
+            if shared >= need:
                 out.append((item, shared, len(shingles)))
         return out
 
 
-def search(docs: DataFrame, items: DataFrame, threshold: float = common.THRESHOLD, max_items: int = MAX_ITEMS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``(doc_id, item_id, shared, item_shingles, containment)`` for every document of ``docs(doc_id, text)`` and item of ``items(item_id, text)`` found in it."""
+def blocks(items: DataFrame, threshold: float, block_bytes: int) -> Iterator[tuple[Sketches, bool]]:
+    """The tables of ``items(item_id, text)`` in blocks, and whether there is one only. What the driver gets at once is bounded by ``block_bytes``, but for a longer single item."""
     it = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     size = it.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    if size.n <= max_items and size.b <= max_bytes:
-        got = sorted(((r[0], r[1]) for r in it.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))  # bounded just above
-        return scan(d, Sketches(got, threshold))
-    return joined(d, it, threshold)
+    n = max(1, math.ceil((4 * size.b + 400 * size.n) / block_bytes))
+    if n > 1:
+        it = common.checkpoint(it.withColumn("block", F.pmod(F.xxhash64("item_id", "text", F.monotonically_increasing_id()), F.lit(n))))
+    for k in range(n):
+        got = (it if n == 1 else it.where(F.col("block") == k).drop("block")).collect()
+        yield Sketches(sorted(((r[0], r[1]) for r in got), key=lambda x: (x[0] is not None, x[0] or 0, x[1])), threshold), n == 1
 
 
-SCHEMA = "doc_id long, item_id long, shared long, item_shingles long, containment double"
-
-
-def found_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "item_id", "shared", "item_shingles", "containment"])
-
+def search(docs: DataFrame, items: DataFrame, threshold: float = common.THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(doc_id, item_id, shared, item_shingles, containment)`` for every document of ``docs(doc_id, text)`` and item of ``items(item_id, text)`` found in it."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
+    found = []
+    for sketches, only in blocks(items, threshold, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(sketches)
+        found.append(scan(d, shared))
+        if not only:
+            found[-1] = common.stored(found[-1], "leaks")
+            shared.destroy()
+    return reduce(DataFrame.unionByName, found)
 
-def scan(docs: DataFrame, sketches: Sketches) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(sketches)
 
-    def make():
-        s, seen = shared.value, common.Hashes()
+def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = common.THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that contain none of ``items``."""
+    at = docs.columns.index("text")
 
-        def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            return found_batch([(doc, item, n, q, n / q) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for item, n, q in s.search(text, seen)])
+    def make(shared):
+        def f():
+            s, seen = shared.value, common.Hashes()
+            return lambda b: b.filter(pa.array([not s.search(t, seen) for t in common.texts(b.column(at))], pa.bool_()))
 
         return f
 
-    return common.map_rows(docs, make, SCHEMA)
-
+    for sketches, only in blocks(items, threshold, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(sketches)
+        docs = common.map_rows(docs, make(shared), docs.schema)
+        if not only:
+            docs = common.stored(docs, "clean")
+            shared.destroy()
+    return docs
 
-def joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """The same by a shuffle, for item tables of any size: sketch hashes meet document hashes, candidates' texts are then fetched and compared."""
 
-    def hashes(column: str, sketch: bool):
-        def make():
-            seen = common.Hashes()
-
-            def f(b: pa.RecordBatch) -> pa.RecordBatch:
-                rows = []
-                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    ws = common.words(text)
-                    for k in [min(common.SHINGLE_WORDS, len(ws))] if sketch else range(1, min(common.SHINGLE_WORDS, len(ws)) + 1):
-                        if k:
-                            h = common.shingle_hashes(ws, seen, k)
-                            h = h[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1] if sketch else h
-                            rows += [(key, x) for x in h.view(np.int64).tolist()]
-                return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], [column, "hash"])
+SCHEMA = "doc_id long, item_id long, shared long, item_shingles long, containment double"
 
-            return f
 
-        return make
+def found_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 4 + [pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "item_id", "shared", "item_shingles", "containment"])
 
-    d = docs.withColumn("row", F.monotonically_increasing_id())
-    d = common.checkpoint(d)
-    i = common.checkpoint(items.withColumn("row", F.monotonically_increasing_id()))
-    dh = common.map_rows(d.select("row", "text"), hashes("d_row", False), "d_row long, hash long")
-    ih = common.map_rows(i.select("row", "text"), hashes("i_row", True), "i_row long, hash long")
-    pairs = dh.join(ih, "hash").select("d_row", "i_row").distinct()
-    both = pairs.join(d.select(F.col("row").alias("d_row"), "doc_id", F.col("text").alias("d_text")), "d_row").join(i.select(F.col("row").alias("i_row"), "item_id", F.col("text").alias("i_text")), "i_row")
 
+def scan(docs: DataFrame, shared) -> DataFrame:
     def make():
-        seen = common.Hashes()
+        s, seen = shared.value, common.Hashes()
 
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for doc, text, item, own in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                rows += [(doc, x, n, q, n / q) for x, n, q in Sketches([(item, own)], threshold).search(text, seen)]
-            return found_batch(rows)
+            return found_batch([(doc, item, n, q, n / q) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for item, n, q in s.search(text, seen)])
 
         return f
 
-    return common.map_rows(both.select("doc_id", "d_text", "item_id", "i_text"), make, SCHEMA)
+    return common.map_rows(docs, make, SCHEMA)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+    return common.stored(search(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark")), "leaks")
 
 
 SQL = r"""
