@@ -12,8 +12,8 @@ A shard holds whole documents in ascending doc_id order, at most ``shard_ids`` i
 The width is the one that ``percentile`` of the block's values fit in; the rest are the exceptions. Numbers are little-endian. The index of
 block starts lets ``Shard.ids`` decode only the blocks that a document lies in.
 
-Tasks write to the shared folder under a name of their own and rename, so a lost or repeated task leaves one whole file. Folders may be on any file system
-that pyarrow opens by URI (file, hdfs, s3, gs, abfs).
+Tasks write to the shared folder under names of their own attempt, and the manifest names the files of those that finished, so that a lost or repeated task changes nothing; nothing is
+renamed or replaced. Folders may be on any file system that pyarrow opens by URI (file, hdfs, s3, gs, abfs).
 
 Defined results: null and empty texts are the end id alone; special strings in texts count as the library's default has it; rows of one
 doc_id follow one another, by text; null doc_ids come first; an empty table writes no shard; only ``doc_id`` and ``text`` are read.
@@ -256,7 +256,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
     """Encode ``docs(doc_id, text)`` into shards below ``folder`` in ascending doc_id order; the manifest, a row a shard."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.selectExpr("cast(doc_id AS long) doc_id", "coalesce(text, '') text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.selectExpr("cast(doc_id AS long) doc_id", "coalesce(text, '') text")
+    ordered = ordered.repartitionByRange(n, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")  # a doc_id of many rows is parted, too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -268,13 +269,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
         def flush() -> pa.RecordBatch:
             nonlocal doc_ids, arrays, have, seq
             data = shard_bytes(doc_ids, arrays)
-            path, own = f"{root}/{part:08d}-{seq:05d}.tgids", f"{root}/.{part:08d}-{seq:05d}-{attempt}"
+            path = f"{root}/{part:08d}-{seq:05d}-{attempt}.tgids"
             fs.create_dir(root, recursive=True)
-            with fs.open_output_stream(own) as f:
+            with fs.open_output_stream(path) as f:
                 f.write(data)
-            if fs.type_name != "local" and fs.get_file_info(path).type != pafs.FileType.NotFound:
-                fs.delete_file(path)
-            fs.move(own, path)
             row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": path, "n_docs": len(doc_ids), "n_ids": have, "n_bytes": len(data)}], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
             doc_ids, arrays, have, seq = [], [], 0, seq + 1
             return row
@@ -341,4 +339,4 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = common.read(spark, sf_dir, "documents")
-    return token_files(docs, common.work_path(spark, "token-ids"), public_tokenizers.path("word_bpe_49k.json"), 2, contract_columns, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return common.stored(token_files(docs, common.work_path(spark, "token-ids"), public_tokenizers.path("word_bpe_49k.json"), 2, contract_columns, "doc_id long, start long, n_tokens long, ids_crc32 long"), "tokens")
