@@ -33,14 +33,37 @@ def test_exact_of_nothing(spark):
 
 def test_index_pages(spark):
     rows = [(i, f"text {i}") for i in range(500)]
-    index = exact_dedup.build_index(spark.createDataFrame(rows, SCHEMA), common.work_path(spark, "t"), capacity=8)
-    pages = index.collect()
-    assert sum(p.n for p in pages) == 500 and max(p.n for p in pages) <= 8
-    slots = [(p.prefix << (64 - p.depth), (p.prefix + 1) << (64 - p.depth)) for p in pages if p.depth]
-    assert all(lo <= (k % (1 << 64)) < hi for p, (lo, hi) in zip(pages, slots, strict=True) for k in p.key)
-    assert all(a[1] <= b[0] for a, b in zip(sorted(slots), sorted(slots)[1:], strict=False))  # a key has one bucket
-    d = exact_dedup.directory(index).collect()
-    assert {r.global_depth for r in d} == {max(p.depth for p in pages)}
+    index = exact_dedup.Index(spark.createDataFrame(rows, SCHEMA), capacity=8)
+    got = index.pages.collect()
+    pages, directories = [p for p in got if p.bucket is not None], {p.owner: p for p in got if p.bucket is None}
+    assert sum(len(p.key) for p in pages) == 500 and max(len(p.key) for p in pages) <= 8
+    assert max(d.depth for d in directories.values()) > 0 and all(len(d.slots) == 1 << d.depth for d in directories.values())
+    for p in pages:
+        d = directories[p.owner]
+        assert d.slots.count(p.bucket) == 1 << d.depth - p.depth
+        for k in p.key:
+            k %= 1 << 64
+            assert k >> 64 - index.bits == p.owner and d.slots[k >> 64 - index.bits - d.depth & (1 << d.depth) - 1] == p.bucket
+    asked = index.tally.unionByName(index.tally.selectExpr("key + 1 AS key", "text_sha256", "size", "keep_file", "keep_row"))
+    assert {(r.text_sha256, r.keep_id, r.group_size) for r in index.find(asked).collect()} == {(sha(t), i, 1) for i, t in rows}
+    index.drop()
+
+
+def test_directory_doubles():
+    d = exact_dedup.Directory(5, 3, 2, 10**6)
+    keys = [5 << 61 | k << 50 for k in range(0, 2048, 7)]
+    pages = [p for k in keys for p in d.put(k, (k, 0, 0), 1, "", b"x")] + list(d.end())
+    assert d.depth > 4 and len(d.slots) == 1 << d.depth
+    assert [k % (1 << 64) for p in pages[:-1] for k in p["key"]] == keys and all(len(p["key"]) <= 2 for p in pages[:-1])
+    few = exact_dedup.Directory(0, 3, 1, 10**6, most=2)  # no more slots: buckets grow
+    pages = [p for k in range(50) for p in few.put(k, (k, 0, 0), 1, "", b"x")] + list(few.end())
+    assert len(few.slots) <= 4 and sum(len(p["key"]) for p in pages[:-1]) == 50
+
+
+@pytest.mark.parametrize("hot", [1, 50_000])
+def test_large_groups_are_sent_once(spark, hot):
+    rows = [(i, "a  copy") for i in range(300)] + [(None, "a copy")] * 3 + [(1000 + i, f"own {i}") for i in range(40)] + [(5, "two"), (5, "two")]
+    same(exact_dedup.exact_dedup(spark.createDataFrame(rows, SCHEMA).repartition(7), hot=hot).collect(), groups(rows))
 
 
 def test_near(spark):
@@ -61,6 +84,30 @@ def test_near_group(spark, monkeypatch, docs, members):
     same(ngram_join.ngram_join(spark.createDataFrame(rows, SCHEMA)).collect(), want)
 
 
+def test_rows_without_ids_link(spark):
+    w = [f"w{i}" for i in range(120)]
+    rows = [(None, " ".join(w)), (7, " ".join([*w, "more"])), (7, "another text of one doc_id " + " ".join(w[:4])), (None, "of its own there is no other"), (None, ""), (3, None), (7, " ".join([*w, "else"]))]
+    same(ngram_join.ngram_join(spark.createDataFrame(rows, SCHEMA)).collect(), links(rows))
+
+
+def test_chain(spark, monkeypatch):
+    """A long chain of texts, each near its neighbours only, is compared by band keys: rows sent and pairs compared stay near the number of links."""
+    monkeypatch.setattr(ngram_join, "ONE_BLOCK", 20)
+    monkeypatch.setattr(ngram_join, "SPREAD", 10)  # as many blocks as a chain of 400,000 texts would have
+    w = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join(w[6 * i : 6 * i + 130])) for i in range(600)]
+    sent = []
+    real = ngram_join.deals
+    monkeypatch.setattr(ngram_join, "deals", lambda *a: sent.append(common.checkpoint(real(*a))) or sent[-1])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = ngram_join.ngram_join(docs).collect()
+    same(got, links(rows))
+    assert len({r.class_id for r in got}) == 1
+    units = sent[0].groupBy("unit", "bands").count().collect()
+    assert sent[0].where("bands <> -1").count() == sent[0].count() < 64 * 600
+    assert sum(u["count"] * (u["count"] - 1) // 2 for u in units) < 600 * 599 / 2 / 3
+
+
 def test_pruning_bound():
     for n in (32, 448):
         m = ngram_join.least_matches(n, 0.8, 1e-9)
@@ -99,6 +146,13 @@ def test_repeats_query(spark):
     same(suffix_dedup.op7_suffix_dedup(spark, SF).collect(), repeats(documents()))
 
 
+def test_missing_answers_fail(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        suffix_dedup.Answers(f"file://{tmp_path}/gone", 8, {})
+    (tmp_path / "there").mkdir()
+    assert not len(suffix_dedup.Answers(f"file://{tmp_path}/there", 8, {b"R": suffix_dedup.REPEAT}).get(5, b"R")[0])
+
+
 def test_repeated_spans(spark):
     rows = [(1, "x" * 10 + BASE[:60] + "y"), (2, "é " + BASE[:60] + " z")]
     got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}

@@ -20,7 +20,8 @@ The whole corpus's order is not written out: removal only needs the classes of e
 Triggers are the least of a stretch instead of zero modulo a number, as a plain modulus leaves strings without a trigger.
 
 Rows are read again in steps 3 and 4 rather than shuffled. They are known by file and row number, or where the input is not a plain scan of
-files by their place in a copy in the shared folder. The answers lie in the shared folder, a partition for each few thousand rows.
+files by their place in a copy in the shared folder. The answers lie in the shared folder,
+in a bounded number of files, in the order of blocks of a few thousand rows; a reader that can't see the folder fails.
 
 Defined results: null and empty texts have zero bytes and spans; matches never cross documents; texts of any length are read whole; rows of equal
 doc_id do not count as smaller than each other; a null doc_id counts as larger than every other; an empty table gives no rows; only doc_id
@@ -38,11 +39,11 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .common import FILE, ROW
 
 LENGTH, GRAM = 50, 20
 CHUNK_ROWS = 8192
@@ -305,17 +306,21 @@ def own_dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 class Answers:
-    """Blobs of a chunk from a folder that is partitioned by chunk; the last chunk's stay."""
+    """Blobs of a chunk from a folder of ``write_by_chunk`` with so many parts; the last chunk's stay."""
 
-    def __init__(self, folder: str, kinds: dict[bytes, list[int]]) -> None:
+    def __init__(self, folder: str, parts: int, kinds: dict[bytes, list[int]]) -> None:
         self.fs, self.root = pafs.FileSystem.from_uri(folder)
+        self.parts = parts
+        if self.fs.get_file_info(self.root).type != pafs.FileType.Directory:
+            raise FileNotFoundError(f"{folder} can't be seen here; spark.checkpoint.dir has to be shared by all executors")
         self.kinds, self.at, self.columns = kinds, None, {}
 
     def get(self, chunk: int, kind: bytes) -> list[np.ndarray]:
         """The columns, in the order of the first."""
         if chunk != self.at:
-            files = self.fs.get_file_info(pafs.FileSelector(f"{self.root}/chunk={chunk}", allow_not_found=True))
-            blobs = [x for f in files if f.base_name.endswith(".parquet") for x in pq.read_table(f.path, filesystem=self.fs, columns=["blob"]).column(0).to_pylist()]
+            files = self.fs.get_file_info(pafs.FileSelector(f"{self.root}/part={chunk % self.parts}", allow_not_found=True))  # a part without answers has no folder
+            names = [f.path for f in files if f.base_name.endswith(".parquet")]
+            blobs = [x for f in names for x in pq.read_table(f, filesystem=self.fs, columns=["blob"], filters=[("chunk", "=", chunk)]).column(0).to_pylist()]
             self.at, self.columns = chunk, {}
             for k, widths in self.kinds.items():
                 got = [unpack(b[1:], widths) for b in blobs if b[:1] == k]
@@ -352,11 +357,11 @@ def texts_of(row: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[at[mine]], np.flatnonzero(mine)
 
 
-def open_phrases(n: int, folder: str):
+def open_phrases(n: int, folder: str, parts: int):
     """Step 3, where texts are read: phrases to be compared as bytes, by bucket, and the repeats among a task's own strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers = Answers(folder, {b"R": REPEAT, b"T": IS_OPEN})
+        answers = Answers(folder, parts, {b"R": REPEAT, b"T": IS_OPEN})
         held: dict[tuple[int, int], list] = {}
         strings: dict[bytes, list[tuple[int, int, int, int]]] = {}  # of hot triggers: doc_id, chunk, row, start
         size = 0
@@ -479,9 +484,9 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[at], e[np.append(at[1:], len(s)) - 1]
 
 
-def removed_spans(answers: str, spans: str, columns):
+def removed_spans(answers: str, spans: str, parts: int, columns):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, more = Answers(answers, {b"R": REPEAT}), Answers(spans, {b"S": SPAN})
+        known, more = Answers(answers, parts, {b"R": REPEAT}), Answers(spans, parts, {b"S": SPAN})
         for batch in batches:
             for chunk, rows, _, texts, s in rows_of(batch):
                 doc = lo = hi = np.empty(0, np.int64)
@@ -504,23 +509,17 @@ def batch_of(doc_id: pa.Array, columns: list[tuple[str, pa.Array]]) -> pa.Record
     return pa.RecordBatch.from_arrays([doc_id, *(x for _, x in columns)], names=["doc_id", *(name for name, _ in columns)])
 
 
-def placed(docs: DataFrame) -> DataFrame:
+def chunked(docs: DataFrame) -> DataFrame:
     """``(chunk, row, doc_id, text)``: rows by a place that stays the same whenever they are read."""
-    try:
-        d = docs.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-        d.schema  # noqa: B018
-    except AnalysisException:
-        spark = docs.sparkSession
-        path = common.work_path(spark, "texts")
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").write.option("compression", "zstd").parquet(path)
-        d = spark.read.schema("doc_id long, text string").parquet(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"), "doc_id", "text")
-    chunk = F.abs(F.xxhash64("f", F.floor(F.col("r") / CHUNK_ROWS)))
-    return d.select(F.greatest(chunk, F.lit(0)).alias("chunk"), (F.col("r") % CHUNK_ROWS).cast("int").alias("row"), "doc_id", "text")
-
-
-def write_by_chunk(df: DataFrame, path: str, n: int) -> str:
-    """A folder with a partition for each chunk; its schema only when nothing is to be written."""
-    df.repartition(n, "chunk").sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(path)
+    d = common.placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    chunk = F.abs(F.xxhash64(FILE, F.floor(F.col(ROW) / CHUNK_ROWS)))
+    return d.select(F.greatest(chunk, F.lit(0)).alias("chunk"), (F.col(ROW) % CHUNK_ROWS).cast("int").alias("row"), "doc_id", "text")
+
+
+def write_by_chunk(df: DataFrame, path: str, n: int, parts: int) -> str:
+    """A folder of at most ``parts`` parts, each a file in the order of chunks with small row groups, of which a reader opens those of its chunk."""
+    df = df.withColumn("part", F.pmod("chunk", F.lit(parts)).cast("int")).repartition(n, "part").sortWithinPartitions("part", "chunk")
+    df.write.partitionBy("part").option("parquet.block.size", 1 << 20).parquet(path)
     return path
 
 
@@ -550,14 +549,17 @@ def suffix_dedup(docs: DataFrame, columns=span_columns, schema: str = "n_bytes l
     """``doc_id`` and ``columns`` (byte spans to remove, or what is made of them) for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = placed(docs)
+    rows, parts = chunked(docs), n * BUCKETS
     blobs = "bucket int, chunk long, blob binary"
     with common.batch_rows(spark, 256):
         to_owner = rows.mapInArrow(to_dictionary(n * BUCKETS), blobs).repartition(n, "bucket").sortWithinPartitions("bucket")
-        answers = write_by_chunk(to_owner.mapInArrow(own_dictionary, "chunk long, blob binary"), common.work_path(spark, "repeats"), n)
-        to_sort = rows.mapInArrow(open_phrases(n * BUCKETS, answers), blobs).repartition(n, "bucket").sortWithinPartitions("bucket")
-        spans = write_by_chunk(to_sort.mapInArrow(own_suffixes, "chunk long, blob binary"), common.work_path(spark, "spans"), n)
-    return rows.mapInArrow(removed_spans(answers, spans, columns), f"doc_id long, {schema}")
+        answers = write_by_chunk(to_owner.mapInArrow(own_dictionary, "chunk long, blob binary"), common.work_path(spark, "repeats"), n, parts)
+        to_sort = rows.mapInArrow(open_phrases(n * BUCKETS, answers, parts), blobs).repartition(n, "bucket").sortWithinPartitions("bucket")
+        spans = write_by_chunk(to_sort.mapInArrow(own_suffixes, "chunk long, blob binary"), common.work_path(spark, "spans"), n, parts)
+    out = common.stored(rows.mapInArrow(removed_spans(answers, spans, parts, columns), f"doc_id long, {schema}"), "removed", 256)
+    for path in (answers, spans):
+        common.drop(spark, path)
+    return out
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
