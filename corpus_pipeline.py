@@ -1,14 +1,16 @@
 """The corpus pipeline: operators of tidegraph.llm as stages over ``documents``.
 
-Each stage takes what its predecessor kept, whole, and returns the same columns, the last one the round trip's digests. Decisions come back as
-doc_ids to drop, so rows that share a doc_id are one document; a null doc_id is never dropped by an id.
+Each stage takes what its predecessor kept, whole, and returns the same columns, the last one the round trip's digests. Stages decide about rows, not doc_ids:
+rows that share a doc_id, and rows without one, are judged each by its own text.
+
+Defined results: null and empty texts are clean, of equal (also of all empty) texts one row stays, that of the smallest doc_id, then the first by place; texts without words are no near copies;
+repeated rows are copies; texts of any length are judged whole; an empty table gives no rows; other columns, whatever their names, come through unchanged until the last stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidegraph.llm import byte_bpe, common, decontaminate, exact_dedup, ngram_join, toxicity
 
@@ -19,19 +21,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = common.work_path(spark, "dedup-index")
-    found = common.checkpoint(exact_dedup.exact_dedup(docs, path=path).where("NOT kept").select("doc_id"))
-    common.drop(spark, path)
-    return common.without(docs, found)
+    return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class the document with the smallest doc_id stays."""
-    return common.without(docs, ngram_join.ngram_join(docs).where(F.col("doc_id") != F.col("class_id")))
+    return ngram_join.without_near_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return common.without(docs, decontaminate.search(docs, common.read(spark, sf_dir, "benchmark")))
+    return decontaminate.keep_clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +43,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = common.work_path(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, last = common.read(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = common.write(out, f"stage-{name.replace(' ', '-')}")
+        if last:
+            common.drop(spark, last)
+        docs, last = common.reread(out, path), path
+    return docs
