@@ -241,7 +241,7 @@ def blocks_of(n, shingles):
     return F.greatest(least, F.when(n > ONE_BLOCK, F.ceil(F.sqrt(n) * SPREAD)).otherwise(1)).cast("int")
 
 
-def deals(clusters: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
+def deals(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node, unit, blocks, bands)``: the groups in which each member of ``clusters(node, root)`` is compared, by blocks of its cluster or by band keys."""
     sized = clusters.join(nodes.select("node", "n_shingles"), "node")
     whole = common.checkpoint(sized.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).withColumn("blocks", blocks_of(F.col("n"), F.col("shingles"))))
@@ -249,7 +249,8 @@ def deals(clusters: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
     by_block = lambda roots: sized.select("node", "root").join(roots, "root").select("node", F.col("root").alias("unit"), "blocks", F.lit(-1).cast("long").alias("bands"))
     if wide.isEmpty():
         return by_block(whole.select("root", "blocks"))
-    own = keys.join(sized.join(wide.select("root"), "root", "left_semi"), "node")
+    some = common.checkpoint(sized.join(wide.select("root"), "root", "left_semi"))
+    own = nodes.select("node", "bands").join(common.small(some, MEMBERS), "node").select("node", "root", "n_shingles", F.posexplode("bands").alias("band", "key"))
     prints = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"print{i}") for i in (1, 2)]
     buckets = own.groupBy("root", "band", "key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), *prints).where("n > 1")
     buckets = common.checkpoint(buckets)
@@ -259,7 +260,8 @@ def deals(clusters: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
     cost = units.groupBy("root").agg(F.sum(F.col("n") * F.col("blocks")).alias("cost"))
     chosen = common.checkpoint(wide.join(cost, "root").where("cost < rows").select("root"))
     rest = whole.join(chosen, "root", "left_anti").select("root", "blocks")
-    by_band = keys.join(units.join(chosen, "root", "left_semi").select("key", "band", "blocks", "mask"), ["key", "band"])
+    same_key = ["root", "band", "key"]
+    by_band = own.join(common.small(common.checkpoint(units.join(chosen, "root", "left_semi").select(*same_key, "blocks", "mask")), MEMBERS), same_key)
     return by_block(rest).unionByName(by_band.select("node", F.col("key").alias("unit"), "blocks", F.col("mask").alias("bands")))
 
 
@@ -273,7 +275,7 @@ def classified(docs: DataFrame, threshold: float, tolerance: float) -> DataFrame
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     edges = keys.join(shared, "key").where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     clusters = common.checkpoint(common.components(edges))
-    dealt = deals(clusters, classes, keys).groupBy("node").agg(F.collect_list(F.struct("unit", F.col("blocks").cast("int").alias("blocks"), "bands")).alias("deals"))  # one, or at most one a band
+    dealt = deals(clusters, classes).groupBy("node").agg(F.collect_list(F.struct("unit", F.col("blocks").cast("int").alias("blocks"), "bands")).alias("deals"))  # one, or at most one a band
     members = classes.select(FILE, ROW, "node", "mult").join(dealt, "node")
     members = common.small(common.checkpoint(members), MEMBERS)
     found = common.checkpoint(linked_blocks(members, docs, threshold, tolerance))
