@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,27 +78,20 @@ class Model:
         return scores
 
 
-def bags(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text as buckets and their weights in its vector."""
-    known: dict[str, np.ndarray] = {}
-    out = []
+def bags(texts: list[str], buckets: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Each text as numbers of words and their weights in its vector; all words' buckets in one array, and where each word's begin there."""
+    number: dict[str, int] = {}
+    flat, ends, out = array("i"), array("q", [0]), []
     for t in texts:
-        ws = WORD.findall(t.lower())
-        if not ws:
-            out.append((np.empty(0, np.int64), np.empty(0, np.float32)))
-            continue
-        count: dict[str, int] = {}
-        for w in ws:
-            count[w] = count.get(w, 0) + 1
+        count = Counter(WORD.findall(t.lower()))
         for w in count:
-            if w not in known:
-                known[w] = np.array(grams(w, buckets), np.int32)
-        gs = [known[w] for w in count]
-        sizes = np.array([len(g) for g in gs])
-        each = np.repeat(np.array(list(count.values())) / sizes / len(ws), sizes)
-        b, inverse = np.unique(np.concatenate(gs), return_inverse=True)
-        out.append((b.astype(np.int32), np.bincount(inverse, each).astype(np.float32)))
-    return out
+            if w not in number:
+                number[w] = len(number)
+                flat.extend(grams(w, buckets))
+                ends.append(len(flat))
+        n = len(count)
+        out.append((np.fromiter(map(number.__getitem__, count), np.int32, n), np.fromiter(count.values(), np.float32, n) / max(count.total(), 1)))
+    return out, np.array(flat, np.int32), np.array(ends, np.int64)
 
 
 def train(texts: list[str], labels: np.ndarray, *, buckets: int = BUCKETS, dim: int = DIM, epochs: int = 8, rate: float = 3.0, seed: int = 7, batch: int = 32, share: float | None = None) -> Model:
@@ -109,7 +104,7 @@ def train(texts: list[str], labels: np.ndarray, *, buckets: int = BUCKETS, dim:
     layer = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     g_emb, g_layer, g_bias = np.full((buckets, dim), 1e-6, np.float32), np.full_like(layer, 1e-6), np.full_like(bias, 1e-6)
-    rows = bags(texts, buckets)
+    rows, flat, starts = bags(texts, buckets)
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
         lr = rate * (1 - epoch / epochs)
@@ -119,11 +114,15 @@ def train(texts: list[str], labels: np.ndarray, *, buckets: int = BUCKETS, dim:
             idx = np.concatenate([rows[i][0] for i in pick])
             val = np.concatenate([rows[i][1] for i in pick])
             doc = np.repeat(np.arange(len(pick)), sizes)
-            part = emb[idx] * val[:, None]
+            words, place = np.unique(idx, return_inverse=True)
+            each = starts[words + 1] - starts[words]
+            first = np.cumsum(each) - each
+            own = flat[np.repeat(starts[words] - first, each) + np.arange(each.sum())]
             vec = np.zeros((len(pick), dim), np.float32)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                vec[full] = np.add.reduceat(part, (np.cumsum(sizes) - sizes)[full])
+            if len(words):
+                means = np.add.reduceat(emb[own], first) / each[:, None].astype(np.float32)
+                full = np.flatnonzero(sizes)
+                vec[full] = np.add.reduceat(means[place] * val[:, None], (np.cumsum(sizes) - sizes)[full])
             z = vec @ layer + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -132,9 +131,10 @@ def train(texts: list[str], labels: np.ndarray, *, buckets: int = BUCKETS, dim:
             err[np.arange(len(pick)), y] -= 1
             err /= len(pick)
             d_layer, d_bias, d_vec = vec.T @ err, err.sum(0), err @ layer.T
-            uniq, inv = np.unique(idx, return_inverse=True)
-            flat = d_vec[doc] * val[:, None]
-            d_emb = np.stack([np.bincount(inv, flat[:, j], len(uniq)) for j in range(dim)], 1).astype(np.float32)
+            back = d_vec[doc] * val[:, None]
+            d_mean = np.stack([np.bincount(place, back[:, j], len(words)) for j in range(dim)], 1) / each[:, None]
+            uniq, inv = np.unique(own, return_inverse=True)
+            d_emb = np.stack([np.bincount(inv, np.repeat(d_mean[:, j], each), len(uniq)) for j in range(dim)], 1).astype(np.float32)
             g_emb[uniq] += d_emb**2
             emb[uniq] -= lr * d_emb / np.sqrt(g_emb[uniq])
             g_layer += d_layer**2
@@ -166,7 +166,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     total = np.cumsum([r[1] for r in sizes])
     held = spark.createDataFrame([(r[2],) for r, n in zip(sizes, total, strict=True) if n <= sample_bytes], "doc_id long")
     got = sorted((r[0], r[1], r[2]) for r in found.join(F.broadcast(held), "doc_id").join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text").collect())
-    return train([r[2] for r in got], np.array([r[1] for r in got]), share=share, **options)
+    texts, toxic = [r[2] for r in got], np.array([r[1] for r in got])
+    del got
+    try:
+        return train(texts, toxic, share=share, **options)
+    finally:
+        del texts
+        common.trim()
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
