@@ -117,10 +117,10 @@ def train(texts: list[str], labels: np.ndarray, *, buckets: int = BUCKETS, dim:
             words, place = np.unique(idx, return_inverse=True)
             each = starts[words + 1] - starts[words]
             first = np.cumsum(each) - each
-            own = flat[np.repeat(starts[words] - first, each) + np.arange(each.sum())]
+            held = flat[np.repeat(starts[words] - first, each) + np.arange(each.sum())]
             vec = np.zeros((len(pick), dim), np.float32)
             if len(words):
-                means = np.add.reduceat(emb[own], first) / each[:, None].astype(np.float32)
+                means = np.add.reduceat(emb[held], first) / each[:, None].astype(np.float32)
                 full = np.flatnonzero(sizes)
                 vec[full] = np.add.reduceat(means[place] * val[:, None], (np.cumsum(sizes) - sizes)[full])
             z = vec @ layer + bias
@@ -133,7 +133,7 @@ def train(texts: list[str], labels: np.ndarray, *, buckets: int = BUCKETS, dim:
             d_layer, d_bias, d_vec = vec.T @ err, err.sum(0), err @ layer.T
             back = d_vec[doc] * val[:, None]
             d_mean = np.stack([np.bincount(place, back[:, j], len(words)) for j in range(dim)], 1) / each[:, None]
-            uniq, inv = np.unique(own, return_inverse=True)
+            uniq, inv = np.unique(held, return_inverse=True)
             d_emb = np.stack([np.bincount(inv, np.repeat(d_mean[:, j], each), len(uniq)) for j in range(dim)], 1).astype(np.float32)
             g_emb[uniq] += d_emb**2
             emb[uniq] -= lr * d_emb / np.sqrt(g_emb[uniq])
