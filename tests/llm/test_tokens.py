@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -173,6 +174,28 @@ def test_replay_goes_back_for_a_lower_rank():
     assert [list(t) for t in m.encode_words(words)] == [enc.encode_ordinary(w) for w in words]
 
 
+def test_words_are_replayed_once(replay, tik, monkeypatch):
+    """Words of several chunks meet at one owner, each replayed once; the chunks get theirs back."""
+    monkeypatch.setattr(byte_bpe, "kept_replay", lambda *a: replay)
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefgé日", k=r.randrange(1, 12))) for _ in range(60)]
+    texts = [" ".join(r.choices(words, k=40)) + "\n\n" for _ in range(12)] + ["", "x" * 5000]
+    chunk = [7] * 5 + [9] * 5 + [11] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(range(14)), pa.array(range(14)), pa.array(texts)], ["chunk", "row", "doc_id", "text"])
+    sent = [(b, c, x) for got in byte_bpe.words_of_chunks(3, "", "")(iter([batch])) for b, c, x in zip(*(v.to_pylist() for v in got.columns), strict=True)]
+    sent.sort(key=lambda s: s[0])
+    replayed = []
+    encode_words = replay.encode_words
+    monkeypatch.setattr(replay, "encode_words", lambda ws: replayed.extend(ws) or encode_words(ws))
+    owned = pa.RecordBatch.from_arrays([pa.array([s[i] for s in sent]) for i in range(3)], ["bucket", "chunk", "blob"])
+    back = [x for got in byte_bpe.replay_owned("", "")(iter([owned])) for x in zip(*(v.to_pylist() for v in got.columns), strict=True)]
+    asked = {w for t in texts for w in replay.split(t) if w.encode() not in replay.ranks}
+    assert sorted(replayed) == sorted(asked)
+    for c, t in zip(chunk, texts, strict=True):
+        codes = byte_bpe.Codes(replay.ranks, [b for at, b in back if at == c])
+        assert [int.from_bytes(x[i : i + 4], "little") for x in map(codes.__getitem__, replay.split(t)) for i in range(0, len(x), 4)] == tik.encode_ordinary(t)
+
+
 def test_round_trip(spark, tik):
     want = [(d, len(ids := tik.encode_ordinary(t or "")), sha(" ".join(map(str, ids))), sha(t or "")) for d, t in AWKWARD]
     same(byte_bpe.round_trip(awkward(spark), RANKS, P.PATTERN).collect(), want)

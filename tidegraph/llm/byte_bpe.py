@@ -1,8 +1,12 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct words of many texts are laid out one after another as cells, each a token. An inverted index maps every pair of
-neighbouring tokens to the cells where it begins; a heap gives the pairs in rank order. Applying a merge visits only the cells that the
-index lists, and only their neighbours' pairs enter the index anew. Words are then put back into texts.
+Chunks of rows send their distinct words to the words' owners, so each distinct word of the corpus is replayed once, by the owner of its
+hash; its tokens come back to the chunks that have it. An owner lays its words out one after another as cells, each a token. An inverted
+index maps every pair of neighbouring tokens to the cells where it begins; a heap gives the pairs in rank order. Applying a merge visits
+only the cells that the index lists, and only their neighbours' pairs enter the index anew. Words are then put back into texts.
+Words that are tokens of the vocabulary need no merge and are not sent.
+
+A frequent word is sent once a chunk, not once a place. A task holds the distinct words of one chunk or of one bucket of owners.
 
 Where a merge makes a pair of lower rank than its own (possible with odd vocabularies), the word's remaining places wait until
 that pair was applied, so each word gets exactly the merges of an encoder that works on the word alone.
@@ -15,21 +19,28 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import cache
 from heapq import heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
+from .chunks import ChunkBlobs, by_bucket, chunked, write_by_chunk
 from .token_counts import PLAIN, plain_pieces
 
-#: Words whose tokens a task keeps in each of two generations.
-KEPT = 300_000
-#: Words that share one replay.
-TOGETHER = 16_000
+#: Words that share one replay, for memory: an owner's words go in ranges of so many.
+TOGETHER = 50_000
+#: Distinct words that a task gathers of a chunk before it sends them on.
+GATHERED = 500_000
+#: Buckets of words for each shuffle partition: an owner holds one at a time.
+BUCKETS = 4
+#: Between words; no UTF-8 text has this byte.
+BETWEEN = b"\xff"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,8 +56,6 @@ class MergeReplay:
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.pattern = regex.compile(pattern)
         self.plain = plain_pieces(pattern, spaces=False)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.old_words: dict[str, tuple[int, ...]] = {}
         self.pair_rank: dict[tuple[int, int], int] = {}
 
     def rank(self, a: int, b: int) -> int:
@@ -127,21 +136,19 @@ class MergeReplay:
             whole[i] = tuple([t for t in token[at : at + size] if t >= 0])
         return whole
 
+    def split(self, text: str) -> list[str]:
+        return (self.plain if PLAIN.match(text) else self.pattern).findall(text)
+
+    def encode_all(self, words: list[str]) -> list[tuple[int, ...]]:
+        """``encode_words`` in ranges that fit in memory."""
+        return [t for at in range(0, len(words), TOGETHER) for t in self.encode_words(words[at : at + TOGETHER])]
+
     def encode_batch(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
-        """For every text, its words' tokens."""
-        found = [(self.plain if PLAIN.match(t) else self.pattern).findall(t) for t in texts]
-        if len(self.words) > KEPT:
-            self.old_words, self.words = self.words, {}
-        words, old, new = self.words, self.old_words, []
-        for w in set().union(*found).difference(words):
-            if w in old:
-                words[w] = old[w]
-            else:
-                new.append(w)
-        for at in range(0, len(new), TOGETHER):  # the corpus of one replay, bounded for memory
-            part = new[at : at + TOGETHER]
-            words.update(zip(part, self.encode_words(part), strict=True))
-        return [[words[w] for w in ws] for ws in found]
+        """For every text, its words' tokens, with these texts as the corpus."""
+        found = [self.split(t) for t in texts]
+        words = list(set().union(*found))
+        tokens = dict(zip(words, self.encode_all(words), strict=True))
+        return [[tokens[w] for w in ws] for ws in found]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -149,29 +156,124 @@ class MergeReplay:
 
 @cache
 def kept_replay(ranks_path: str, pattern: str) -> MergeReplay:
-    """One a worker process: its words serve the tasks that follow."""
+    """One a worker process, for the tasks that follow too."""
     return MergeReplay(load_ranks(ranks_path), pattern)
 
 
-def replay_batches(docs: DataFrame, ranks_path: str, pattern: str, columns: str, out) -> DataFrame:
-    """Map ``docs`` (doc_id and text first) in batches; ``out(replay, batch, ids of each text)`` makes the columns."""
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each chunk in a batch of (chunk, row, doc_id, text)."""
+    chunks = batch.column(0).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield int(chunks[a]), batch.slice(a, b - a)
 
-    def make():
+
+def words_of_chunks(n: int, ranks_path: str, pattern: str):
+    """The distinct words of each chunk that are no tokens themselves, by bucket: ``(bucket, chunk, blob)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = kept_replay(ranks_path, pattern)
+        now, seen = None, set()
 
-        def f(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [list(chain.from_iterable(ws)) for ws in replay.encode_batch(common.texts(b.column(1)))]
-            return out(replay, b, ids)
+        def sent() -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[bytes]] = {}
+            for w in map(str.encode, seen):
+                if w not in replay.ranks:
+                    held.setdefault(xxhash.xxh64_intdigest(w) * n >> 64, []).append(w)
+            seen.clear()
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([now] * len(held), pa.int64()), pa.array([BETWEEN.join(sorted(ws)) for ws in held.values()], pa.binary())], ["bucket", "chunk", "blob"])
 
-        return f
+        for batch in batches:
+            for chunk, rows in slices(batch):
+                if chunk != now or len(seen) > GATHERED:
+                    yield from sent()
+                    now = chunk
+                for t in common.texts(rows.column(3)):
+                    seen.update(replay.split(t))
+        yield from sent()
+        common.trim()
+
+    return run
 
-    return common.map_rows(docs, make, columns, rows=500)
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, as high bytes that are mostly zero pack well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def replay_owned(ranks_path: str, pattern: str):
+    """The owners: the words of a bucket from all chunks are replayed once; every chunk gets its words with their tokens, ``(chunk, blob)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = kept_replay(ranks_path, pattern)
+        for rows in by_bucket(batches):
+            words = sorted(set().union(*(blob.split(BETWEEN) for _, blob in rows)))
+            tokens = dict(zip(words, replay.encode_all([w.decode() for w in words]), strict=True))
+            for at in range(0, len(rows), 64):
+                chunks, blobs = [], []
+                for chunk, blob in rows[at : at + 64]:
+                    of = [tokens[w] for w in blob.split(BETWEEN)]
+                    numbers = [len(of), *map(len, of), *(i for t in of for i in t)]
+                    chunks.append(chunk)
+                    blobs.append(len(blob).to_bytes(8, "little") + blob + planes(np.array(numbers, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "blob"])
+        common.trim()
+
+    return run
+
+
+class Codes(dict):
+    """A chunk's words with their tokens as bytes, four a token; those that are tokens of the vocabulary are added when asked for."""
+
+    def __init__(self, ranks: dict[bytes, int], blobs: list[bytes]) -> None:
+        self.ranks = ranks
+        for b in blobs:
+            end = 8 + int.from_bytes(b[:8], "little")
+            words = b[8:end].decode("utf-8", "surrogateescape").split("\udcff")
+            numbers = np.ascontiguousarray(np.frombuffer(b, np.uint8, offset=end).reshape(4, -1).T).view("<u4").ravel()
+            to = np.cumsum(numbers[1 : len(words) + 1].astype(np.int64) * 4).tolist()
+            data = numbers[len(words) + 1 :].tobytes()
+            self.update(zip(words, (data[i:j] for i, j in zip([0, *to], to, strict=False)), strict=True))
+
+    def __missing__(self, word: str) -> bytes:
+        code = self[word] = self.ranks[word.encode()].to_bytes(4, "little")
+        return code
+
+
+def replay_batches(docs: DataFrame, ranks_path: str, pattern: str, columns: str, out) -> DataFrame:
+    """``docs`` (doc_id and text) by batches, as a stored table; ``out(replay, doc_ids, ids of each text)`` makes the columns."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, parts = chunked(docs), n * BUCKETS
+    with common.batch_rows(spark, 256):
+        to_owner = rows.mapInArrow(words_of_chunks(parts, ranks_path, pattern), "bucket int, chunk long, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+        answers = write_by_chunk(to_owner.mapInArrow(replay_owned(ranks_path, pattern), "chunk long, blob binary"), common.work_path(spark, "words"), n, parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay, known = kept_replay(ranks_path, pattern), ChunkBlobs(answers, parts)
+        now = codes = None
+        for batch in batches:
+            for chunk, part in slices(batch):
+                if chunk != now:
+                    codes = None
+                    now, codes = chunk, Codes(replay.ranks, known.blobs(chunk))
+                code = codes.__getitem__
+                ids = [np.frombuffer(b"".join(map(code, replay.split(t))), "<u4") for t in common.texts(part.column(3))]
+                yield out(replay, part.column(2), ids)
+        codes = None
+        common.trim()
+
+    done = common.stored(rows.mapInArrow(run, columns), "encoded", 256)
+    common.drop(spark, answers)
+    return done
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``(doc_id, ids)`` for every row of ``docs(doc_id, text)``."""
-    out = lambda r, b, ids: pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-    return replay_batches(docs.selectExpr("cast(doc_id AS long) doc_id", "text"), ranks_path, pattern, "doc_id long, ids array<int>", out)
+    out = lambda r, doc_ids, ids: pa.RecordBatch.from_arrays([doc_ids, pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
+    return replay_batches(docs, ranks_path, pattern, "doc_id long, ids array<int>", out)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -193,14 +295,14 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: texts are encoded, the ids decoded again."""
     h = lambda x: hashlib.sha256(x).hexdigest()
 
-    def out(r: MergeReplay, b: pa.RecordBatch, ids: list[list[int]]) -> pa.RecordBatch:
-        decimal = r.decimal.__getitem__
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([h(" ".join(map(decimal, x)).encode()) for x in ids], pa.string()), pa.array([h(r.decode(x)) for x in ids], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def out(r: MergeReplay, doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+        decimal, listed = r.decimal.__getitem__, [x.tolist() for x in ids]
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) for x in listed], pa.int64()), pa.array([h(" ".join(map(decimal, x)).encode()) for x in listed], pa.string()), pa.array([h(r.decode(x)) for x in listed], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return replay_batches(docs.selectExpr("cast(doc_id AS long) doc_id", "text"), ranks_path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", out)
+    return replay_batches(docs, ranks_path, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", out)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return common.stored(round_trip(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), "round-trip")
+    return round_trip(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -36,17 +36,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import common
-from .common import FILE, ROW
+from .chunks import ChunkBlobs, by_bucket, chunked, write_by_chunk
 
 LENGTH, GRAM = 50, 20
-CHUNK_ROWS = 8192
 PART = 1 << 19
 #: Phrases that a task gathers before it sends them on.
 FLUSH = 250_000
@@ -245,20 +241,6 @@ def to_dictionary(n: int):
     return run
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-    """The (chunk, blob) of each bucket, from rows in the order of buckets."""
-    now, held = None, []
-    for b in batches:
-        for bucket, chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            if bucket != now:
-                if held:
-                    yield held
-                now, held = bucket, []
-            held.append((chunk, blob))
-    if held:
-        yield held
-
-
 def blobs_by_chunk(kind: bytes, chunk: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
     found = [(c, kind + pack([(x[at], w) for x, w in columns])) for c, at in split_by(chunk)]
     return pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], ["chunk", "blob"])
@@ -305,22 +287,17 @@ def own_dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield blobs_by_chunk(b"T", chunk[order[keep]], [(t[keep], 5), (np.repeat(hot, each)[keep], 1)])
 
 
-class Answers:
-    """Blobs of a chunk from a folder of ``write_by_chunk`` with so many parts; the last chunk's stay."""
+class Answers(ChunkBlobs):
+    """The columns of a chunk's blobs; the last chunk's stay."""
 
     def __init__(self, folder: str, parts: int, kinds: dict[bytes, list[int]]) -> None:
-        self.fs, self.root = pafs.FileSystem.from_uri(folder)
-        self.parts = parts
-        if self.fs.get_file_info(self.root).type != pafs.FileType.Directory:
-            raise FileNotFoundError(f"{folder} can't be seen here; spark.checkpoint.dir has to be shared by all executors")
+        super().__init__(folder, parts)
         self.kinds, self.at, self.columns = kinds, None, {}
 
     def get(self, chunk: int, kind: bytes) -> list[np.ndarray]:
         """The columns, in the order of the first."""
         if chunk != self.at:
-            files = self.fs.get_file_info(pafs.FileSelector(f"{self.root}/part={chunk % self.parts}", allow_not_found=True))  # a part without answers has no folder
-            names = [f.path for f in files if f.base_name.endswith(".parquet")]
-            blobs = [x for f in names for x in pq.read_table(f, filesystem=self.fs, columns=["blob"], filters=[("chunk", "=", chunk)]).column(0).to_pylist()]
+            blobs = self.blobs(chunk)
             self.at, self.columns = chunk, {}
             for k, widths in self.kinds.items():
                 got = [unpack(b[1:], widths) for b in blobs if b[:1] == k]
@@ -509,20 +486,6 @@ def batch_of(doc_id: pa.Array, columns: list[tuple[str, pa.Array]]) -> pa.Record
     return pa.RecordBatch.from_arrays([doc_id, *(x for _, x in columns)], names=["doc_id", *(name for name, _ in columns)])
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """``(chunk, row, doc_id, text)``: rows by a place that stays the same whenever they are read."""
-    d = common.placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    chunk = F.abs(F.xxhash64(FILE, F.floor(F.col(ROW) / CHUNK_ROWS)))
-    return d.select(F.greatest(chunk, F.lit(0)).alias("chunk"), (F.col(ROW) % CHUNK_ROWS).cast("int").alias("row"), "doc_id", "text")
-
-
-def write_by_chunk(df: DataFrame, path: str, n: int, parts: int) -> str:
-    """A folder of at most ``parts`` parts, each a file in the order of chunks with small row groups, of which a reader opens those of its chunk."""
-    df = df.withColumn("part", F.pmod("chunk", F.lit(parts)).cast("int")).repartition(n, "part").sortWithinPartitions("part", "chunk")
-    df.write.partitionBy("part").option("parquet.block.size", 1 << 20).parquet(path)
-    return path
-
-
 def span_columns(texts: list[bytes], found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[str, pa.Array]]:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     return [("n_bytes", pa.array([len(t) for t in texts], pa.int64())), ("spans", pa.array([[{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)] for s, e in found], kind))]
