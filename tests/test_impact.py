@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
+from tidegraph import table_queries
 from tidegraph.operators import report
 from tidegraph.operators.classify import concatenated, ordered_changes
 from tidegraph.operators.graph import Graph
-from tidegraph.operators.impact import compute, uncertain_closure
+from tidegraph.operators.impact import compute, impact_rows, uncertain_closure
 from tidegraph.plans import cargo, golang, jest, pytest as py
 from tidegraph.queries import inline_files
 
@@ -263,3 +265,19 @@ def test_union_of_change_lists(spark):
     s = "project string, change_set_id string, ord int, path string"
     a, b = spark.createDataFrame([("p", "s", 0, "x"), ("p", "s", 1, "y")], s), spark.createDataFrame([("p", "s", 0, "y"), ("p", "s", 1, "z")], s)
     assert [(r.path, r.ord) for r in ordered_changes(concatenated(a, b)).orderBy("ord").collect()] == [("x", 0), ("y", 1), ("z", 3)]
+
+
+def test_report_of_long_lists(spark):
+    """The report by rows gathers no targets, and no list is searched for each target."""
+    n = 4_000
+    g = hand(spark, [("a", True, False), ("b", False, True), *[(f"t{i:04}", True, False) for i in range(n)]], [("a", "a/a.go"), ("b", "b/b.go"), ("t0000", "t/t.go")], [(f"t{i:04}", "ab"[i % 2]) for i in range(n)])
+    paths = [("one", "a/a.go"), ("one", "t/t.go"), ("none", "q/a.md"), ("all", "go.mod")]
+    c = spark.createDataFrame([("p", s, i, path) for i, (s, path) in enumerate(paths)], "project string, change_set_id string, ord int, path string")
+    odd = [f"t{i:04}" for i in range(1, n, 2)]
+    one = {t: "~" for t in odd} | {f"t{i:04}": " " for i in range(0, n, 2)} | {"a": "*", "t0000": "*"}
+    want = [("one", t, m, n + 1, n + 1, 0.0) for t, m in one.items()] + [("none", t, "~", n // 2, n + 1, 50.0) for t in odd] + [("all", t, " ", n + 1, n + 1, 0.0) for t in ["a", *(f"t{i:04}" for i in range(n))]]
+    for r in (report.report(compute(g, c), g.nodes), report.report_rows(impact_rows(g, c)[1], g.nodes)):
+        assert sorted(tuple(x)[1:] for x in r.collect()) == sorted(want)
+        assert "array_contains" not in r._jdf.queryExecution().toString()
+    plan = table_queries.QUERIES["impact_report_rows"](spark, SF)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "array_contains" not in plan

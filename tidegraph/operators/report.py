@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import work
 from ..functions import paths
 from .impact import SET
 
@@ -21,12 +22,29 @@ def totals(nodes: DataFrame) -> DataFrame:
 def report(impact: DataFrame, nodes: DataFrame) -> DataFrame:
     """A row a target: ``(project, change_set_id, target, marker, selected, total, skip_pct)``.
 
-    Markers: ``*`` for a changed node, ``~`` for one only there for an unresolved import, else a blank.
+    Markers: ``*`` for a changed node, ``~`` for one only there for an unresolved import, else a blank. The lists are parted by hash sets, no list is searched for each target.
     """
-    marker = F.when(F.array_contains("changed_targets", F.col("target")), "*").when(F.array_contains("uncertain_targets", F.col("target")), "~").otherwise(" ")
-    selected = F.size("targets").cast("long")
-    rows = impact.join(totals(nodes), "project", "left").withColumn("total", F.coalesce("total", F.lit(0))).withColumn("selected", selected)
-    return rows.withColumn("target", F.explode("targets")).select(*SET, "target", marker.alias("marker"), "selected", "total", skip_percent(F.col("selected"), F.col("total")).alias("skip_pct"))
+    unchanged = F.array_except("targets", "changed_targets")
+    parts = {"*": F.array_intersect("targets", "changed_targets"), "~": F.array_intersect(unchanged, "uncertain_targets"), " ": F.array_except(unchanged, "uncertain_targets")}
+
+    def marked(m: str) -> Column:
+        return F.transform(parts[m], lambda t: F.struct(t.alias("target"), F.lit(m).alias("marker")))
+
+    rows = impact.select(*SET, F.size("targets").cast("long").alias("selected"), F.explode(F.concat(*map(marked, parts))).alias("t"))
+    return with_counts(rows.select(*SET, "t.target", "t.marker", "selected"), nodes)
+
+
+def report_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``report`` from the rows of ``impact_rows`` by joins, for target lists too long for arrays."""
+    marked = work.checkpoint(markers(rows))
+    n = work.checkpoint(marked.groupBy(*SET).agg(F.count("*").alias("selected")))
+    return with_counts(marked.join(work.small(n, n.count()), SET), nodes)
+
+
+def with_counts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows with ``selected``, and the project's total and the share left out beside it."""
+    r = rows.join(totals(nodes), "project", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    return r.select(*SET, "target", "marker", "selected", "total", skip_percent(F.col("selected"), F.col("total")).alias("skip_pct"))
 
 
 def markers(rows: DataFrame) -> DataFrame:

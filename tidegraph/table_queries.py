@@ -16,7 +16,7 @@ from . import work
 from .functions import paths, rules
 from .operators import classify, commands, report
 from .operators.detect import detected, facts
-from .operators.impact import compute
+from .operators.impact import compute, impact_rows
 from .plans import ANALYZERS, cargo, golang, jest, pytest
 from .queries import DYN_SQL, EVENTS_SQL, FK_SQL, KEYED_SQL, TESTS_SQL, event_changes, event_classes, fk_graph, read, region_changes
 from .sources import manifests, tree
@@ -481,7 +481,7 @@ FROM (SELECT 'region:' || r_regionkey AS id FROM region) r LEFT JOIN s ON s.chan
 def impact_report_rows(spark, sf):
     """A row for each target, with its marker and the counts that a report begins with."""
     g = fk_graph(spark, sf)
-    r = report.report(compute(g, region_changes(spark, sf)), g.nodes)
+    r = report.report_rows(impact_rows(g, region_changes(spark, sf))[1], g.nodes)
     return r.select("change_set_id", "target", "marker", "selected", "total", "skip_pct")
 
 
