@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,6 +67,28 @@ def test_large_groups_are_sent_once(spark, hot):
     same(exact_dedup.exact_dedup(spark.createDataFrame(rows, SCHEMA).repartition(7), hot=hot).collect(), groups(rows))
 
 
+
+class Mapped:
+    """Stands for a DataFrame; mapInArrow gives the function of a task."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_combined_texts_go_in_small_batches():
+    rows = [(i % 900, f"{i % 900} " + "x" * 10_000, 1, i, 0, i) for i in range(1000)]
+    names = ["key", "norm", "size", "doc_id", "file", "row"]
+    given = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + 100]]) for i in range(0, 1000, 100)]
+    out = list(exact_dedup.combined(Mapped())(iter(given)))
+    assert max(b.nbytes for b in out) < 2 << 20
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(i, rows[i][1], i, 0, i, 2 if i < 100 else 1) for i in range(900)]
+    assert list(exact_dedup.combined(Mapped())(iter([]))) == []
+
+
 def test_near(spark):
     same(ngram_join.ngram_join(awkward(spark)).collect(), links(AWKWARD))
     assert ngram_join.ngram_join(spark.createDataFrame([], SCHEMA)).collect() == []

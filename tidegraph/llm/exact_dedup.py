@@ -159,16 +159,26 @@ class Directory:
         yield {"owner": self.owner, "bucket": None, "depth": self.depth, "first": signed(self.owner << 64 - self.bits if self.bits else 0), "slots": self.slots}
 
 
-def combined(norm: DataFrame, held_bytes: int = 32 << 20) -> DataFrame:
-    """Rows ``(key, norm, doc, file, row, size)``: equal texts of a task as one row. A task holds at most ``held_bytes`` of text, then passes on what it has."""
+def combined(norm: DataFrame, held_bytes: int = 32 << 20, piece_bytes: int = 1 << 20) -> DataFrame:
+    """Rows ``(key, norm, doc, file, row, size)``: equal texts of a task as one row. A task holds at most ``held_bytes`` of text, then passes on what it has in batches of about ``piece_bytes``."""
     kinds = [("key", pa.int64()), ("norm", pa.string()), ("doc", pa.int64()), ("file", pa.int64()), ("row", pa.int64()), ("size", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         bytes_ = 0
 
-        def out() -> pa.RecordBatch:
-            rows = [(e[0], norm, *e[1], e[2]) for norm, e in held.items()]
+        def out() -> Iterator[pa.RecordBatch]:
+            rows, n = [], 0
+            for norm, e in held.items():
+                rows.append((e[0], norm, *e[1], e[2]))
+                n += len(norm) + 200
+                if n > piece_bytes:
+                    yield batch(rows)
+                    rows, n = [], 0
+            if rows:
+                yield batch(rows)
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [name for name, _ in kinds])
 
         for b in batches:
@@ -178,13 +188,12 @@ def combined(norm: DataFrame, held_bytes: int = 32 << 20) -> DataFrame:
                     held[norm] = [key, tuple(place), size]
                     bytes_ += len(norm) + 200
                     if bytes_ > held_bytes:
-                        yield out()
+                        yield from out()
                         held, bytes_ = {}, 0
                 else:
                     e[1] = min(e[1], tuple(place), key=place_order)
                     e[2] += size
-        if held:
-            yield out()
+        yield from out()
         held.clear()
         common.trim()
 
