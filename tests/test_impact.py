@@ -281,3 +281,17 @@ def test_report_of_long_lists(spark):
         assert "array_contains" not in r._jdf.queryExecution().toString()
     plan = table_queries.QUERIES["impact_report_rows"](spark, SF)._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "array_contains" not in plan
+
+
+def test_report_rows_are_not_dealt_by_project(spark):
+    """Counts are joined to change sets; the rows of the targets, all of one project, never meet them by it."""
+    g = hand(spark, [("a", True, False), ("b", True, False)], [("a", "a/a.go"), ("b", "b/b.go")], [("b", "a")])
+    c = spark.createDataFrame([("p", "s", 0, "a/a.go")], "project string, change_set_id string, ord int, path string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as if the totals were large
+    try:
+        plan = report.report_rows(impact_rows(g, c)[1], g.nodes)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "hashpartitioning(project" not in plan and "SortMergeJoin" not in plan

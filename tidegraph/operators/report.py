@@ -9,6 +9,8 @@ from .. import work
 from ..functions import paths
 from .impact import SET
 
+COUNTS = ["selected", "total", "skip_pct"]
+
 
 def skip_percent(selected: Column, total: Column) -> Column:
     """The share not selected, in percent, half to even; 0 of nothing."""
@@ -30,21 +32,21 @@ def report(impact: DataFrame, nodes: DataFrame) -> DataFrame:
     def marked(m: str) -> Column:
         return F.transform(parts[m], lambda t: F.struct(t.alias("target"), F.lit(m).alias("marker")))
 
-    rows = impact.select(*SET, F.size("targets").cast("long").alias("selected"), F.explode(F.concat(*map(marked, parts))).alias("t"))
-    return with_counts(rows.select(*SET, "t.target", "t.marker", "selected"), nodes)
+    sets = with_total(impact.select(*SET, F.size("targets").cast("long").alias("selected"), F.concat(*map(marked, parts)).alias("t")), nodes)
+    return sets.select(*SET, F.explode("t").alias("t"), *COUNTS).select(*SET, "t.*", *COUNTS)
 
 
 def report_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``report`` from the rows of ``impact_rows`` by joins, for target lists too long for arrays."""
     marked = work.checkpoint(markers(rows))
-    n = work.checkpoint(marked.groupBy(*SET).agg(F.count("*").alias("selected")))
-    return with_counts(marked.join(work.small(n, n.count()), SET), nodes)
+    n = work.checkpoint(with_total(marked.groupBy(*SET).agg(F.count("*").alias("selected")), nodes))
+    return marked.join(work.small(n, n.count()), SET).select(*SET, "target", "marker", *COUNTS)
 
 
-def with_counts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows with ``selected``, and the project's total and the share left out beside it."""
-    r = rows.join(totals(nodes), "project", "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    return r.select(*SET, "target", "marker", "selected", "total", skip_percent(F.col("selected"), F.col("total")).alias("skip_pct"))
+def with_total(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Change sets with ``selected``, and the project's total and the share left out beside it."""
+    r = sets.join(totals(nodes), "project", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    return r.withColumn("skip_pct", skip_percent(F.col("selected"), F.col("total")))
 
 
 def markers(rows: DataFrame) -> DataFrame:
